@@ -4,8 +4,8 @@ Each match of the pattern is encoded by itself: a whole match that is a token is
 that token; otherwise a segment tree holds, for every position of a live piece,
 the rank of its pair with the next piece, and its root the leftmost minimum. A
 merge is three point updates, so a match of n bytes takes O(n log n) steps.
-Distinct matches are encoded once per worker while the cache lasts; it starts
-anew when it is full, so memory is bounded.
+Distinct matches are encoded once per worker while the cache lasts; a full cache
+becomes the older generation and the one before it goes, so memory is bounded.
 
 Null text is an empty one: no ids. Rows are independent, repeats agree, texts are
 never cut. Extra columns are ignored. The rank file is read from its path on
@@ -24,9 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 300_000
+CACHE = 500_000
 NONE = 1 << 62
 _loaded: dict[str, dict[bytes, int]] = {}
+_coders: dict[tuple[str, str], ByteBpe] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,60 +38,49 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return _loaded[path]
 
 
-class PairTree:
-    """Minimum of (rank, position) over positions; equal ranks: the leftmost."""
-
-    def __init__(self, values: list[int]):
-        size = 1
-        while size < len(values):
-            size *= 2
-        tree = [NONE] * size + values + [NONE] * (size - len(values))
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        self.size, self.tree = size, tree
-
-    def set(self, at: int, value: int) -> None:
-        tree, i = self.tree, at + self.size
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
-            i >>= 1
-
-
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one match of the pattern."""
-    whole = ranks.get(piece)
+    """Token ids of one match of the pattern.
+
+    ``tree`` is the segment tree: leaf size + i holds (rank, i) of the pair that
+    starts at byte i as one number, an inner node the lower of its two.
+    """
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    end = list(range(1, n + 1))  # of the live piece that starts here
-    before = list(range(-1, n))  # start of the live piece before
-    get = ranks.get
-
-    def pair(a: int) -> int:
-        b = end[a]
-        if b >= n:
-            return NONE
-        r = get(piece[a : end[b]])
-        return NONE if r is None else r << 32 | a
-
-    tree = PairTree([pair(i) for i in range(n)])
-    while (low := tree.tree[1]) < NONE:
+    size = 1 << (n - 1).bit_length()
+    tree = [NONE] * (2 * size)
+    for i in range(n - 1):
+        r = get(piece[i : i + 2])
+        if r is not None:
+            tree[size + i] = r << 32 | i
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    end = list(range(1, n + 2))  # of the live piece that starts here
+    before = list(range(-1, n + 1))  # start of the live piece before
+    while (low := tree[1]) < NONE:
         a = low & 0xFFFFFFFF
         b = end[a]
-        end[a] = end[b]
-        if end[b] < n:
-            before[end[b]] = a
-        tree.set(b, NONE)
-        tree.set(a, pair(a))
-        if before[a] >= 0:
-            tree.set(before[a], pair(before[a]))
+        end[a] = c = end[b]
+        before[c] = a
+        r = get(piece[a : end[c]]) if c < n else None
+        p = before[a]
+        q = get(piece[p:c]) if p >= 0 else None
+        # the pair of b is gone, those of a and of the piece before it are new
+        for i, value in ((b, NONE), (a, NONE if r is None else r << 32 | a), (p, NONE if q is None else q << 32 | p)):
+            if i < 0:
+                break
+            i += size
+            while i:
+                if tree[i] == value:
+                    break
+                tree[i] = value
+                other = tree[i ^ 1]
+                if other < value:
+                    value = other
+                i >>= 1
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at : end[at]]])
@@ -103,13 +93,16 @@ class Pieces(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = encode_piece(piece.encode("utf-8"), self.ranks)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = encode_piece(piece.encode("utf-8"), self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -118,7 +111,9 @@ class Pieces(dict):
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
         self.findall = regex.compile(pattern).findall
         self.pieces = Pieces(self.ranks)
 
@@ -130,13 +125,20 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
+def coder(path: str, pattern: str) -> ByteBpe:
+    """The worker's coder; its cache serves the worker's later tasks too."""
+    if (path, pattern) not in _coders:
+        _coders[path, pattern] = ByteBpe(path, pattern)
+    return _coders[path, pattern]
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of each row."""
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary()), ("decoded", pa.binary())] * keep)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        bpe = ByteBpe(path, pattern)
+        bpe = coder(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             out = []
