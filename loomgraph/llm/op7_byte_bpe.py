@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 500_000
+CACHE = 200_000
 NONE = 1 << 62
 _loaded: dict[str, dict[bytes, int]] = {}
 _coders: dict[tuple[str, str], ByteBpe] = {}
