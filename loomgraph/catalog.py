@@ -2,5 +2,118 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import functions as F
+
+from .functions import paths as P
+from .operators import extract, graph, resolve, rules, text
+from .plans import bindings as B
+from .plans.state import ensure_checkpoints
+from .streaming import changes
+
+supp = lambda s, d: B.view(s, d, B.EDGES_SUPP_PART, "lineitem")
+order = lambda s, d: B.view(s, d, B.EDGES_ORDER_PART, "lineitem")
+files = B.source_files
+
+
+def users(s, d):
+    ensure_checkpoints(s)
+    return B.view(s, d, B.EDGES_USER_NEXT, "events")
+
+
+def _lines(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("ext"), F.col("text").alias("content"))
+    out = extract.lines(docs)
+    return out.groupBy("path").agg(F.count("*").alias("n_lines"), F.sum(F.length("trimmed")).alias("trimmed_chars"))
+
+
+def _fingerprint(s, d):
+    part = s.read.parquet(f"{d}/part.parquet")
+    return part.select(text.digest(F.concat_ws(":", F.col("p_name"), F.col("p_size").cast("string"))).alias("digest"), F.col("p_partkey").alias("p_partkey"))
+
+
+def _imports(s, d):
+    out = extract.imports(files(s, d))
+    return out.select("path", "module", F.array_join("symbols", "|").alias("symbols"), "is_default", F.col("line_no").cast("long").alias("line_no"))
+
+
+def _debounce(s, d):
+    out = changes.debounce(s.read.parquet(f"{d}/events.parquet"), "user_id", gap="30 minutes")
+    return out.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "events")
+
+
+def _hrefs(s, d):
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("href").agg(F.countDistinct("page_id").alias("pages"), F.count("*").alias("links"))
+
+
+def _budget(s, d):
+    talks = s.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("report"), F.col("turn").alias("ord"), "text")
+    return text.line_budget(talks, 6)
+
+
+def _links(s, d):
+    f = files(s, d)
+    out = resolve.links(resolve.resolve_imports(extract.imports(f), f))
+    return out.select("source", "target", "strength", F.array_join("symbols", "|").alias("symbols"))
+
+
+def _scalars(s, d):
+    rel = F.col("rel")
+    return files(s, d).select("path", "ext", "stem", "file_class", P.short_path(F.col("path")).alias("short"), P.module_name(rel).alias("module"), P.is_excluded(rel).alias("excluded"))
+
+
+_E = f"e AS ({B.EDGES_SUPP_PART})"
+_U = f"e AS ({B.EDGES_USER_NEXT})"
+_D = "d AS (SELECT file, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT source AS file, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e) GROUP BY file)"
+_S = f"f AS (SELECT *, regexp_extract(path, '[^/]*$') AS basename, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_extract(path, '(\\.[^.]*)$', 1) AS ext, substr(path, 4) AS rel FROM ({B.SOURCE_FILES}))"
+_LOW = "SELECT DISTINCT source, target FROM e WHERE source <> target"
+
+_DEFS = {
+    "degrees": (lambda s, d: graph.degrees(supp(s, d)), f"WITH {_E}, {_D} SELECT * FROM d"),
+    "hubs": (lambda s, d: graph.hubs(supp(s, d)), f"WITH {_E}, {_D}, h AS (SELECT *, 2 * (in_degree + out_degree) AS score FROM d WHERE in_degree + out_degree > 2) SELECT *, row_number() OVER (ORDER BY score DESC, file) AS rank FROM h ORDER BY score DESC, file LIMIT 12"),
+    "hub_risk": (lambda s, d: graph.hub_risk(supp(s, d)), f"WITH {_E} SELECT target AS file, count(DISTINCT source) AS importers, CASE WHEN count(DISTINCT source) > 8 THEN 'High' WHEN count(DISTINCT source) > 4 THEN 'Medium' ELSE 'Low' END AS risk FROM e GROUP BY target"),
+    "centrality": (lambda s, d: graph.centrality(supp(s, d)), f"WITH {_E}, {_D} SELECT file, 2 * in_degree + out_degree AS score FROM d ORDER BY score DESC, file LIMIT 8"),
+    "co_import_pairs": (lambda s, d: graph.co_import_pairs(order(s, d)), f"WITH e AS ({B.EDGES_ORDER_PART}) SELECT a.target AS a, b.target AS b, count(*) AS shared FROM e a JOIN e b ON a.source = b.source AND a.target < b.target GROUP BY 1, 2 HAVING count(*) >= 2"),
+    "blast_radius": (lambda s, d: graph.blast_radius(users(s, d)), f"""WITH {_U}, l AS ({_LOW}), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source) AS n FROM l),
+      i AS (SELECT a.target AS file, count(DISTINCT b.source) AS indirect FROM r a JOIN r b ON b.target = a.source AND b.n <= 3 WHERE a.n <= 10 AND b.source <> a.target GROUP BY 1),
+      x AS (SELECT target AS file, count(*) AS direct FROM l GROUP BY 1) SELECT file, direct, coalesce(indirect, 0) AS indirect, direct + coalesce(indirect, 0) AS blast FROM x LEFT JOIN i USING (file)"""),
+    "merge_reverse": (lambda s, d: graph.merge_reverse(users(s, d)), f"""WITH {_U}, l AS ({_LOW}) SELECT a.source, a.target, CASE WHEN b.source IS NULL THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS strength, b.source IS NOT NULL AS bidirectional
+      FROM l a LEFT JOIN l b ON a.source = b.target AND a.target = b.source WHERE b.source IS NULL OR a.source < a.target"""),
+    "impact": (lambda s, d: graph.impact(users(s, d), 1), f"""WITH {_U}, {_D}, x AS (SELECT DISTINCT source AS file FROM e WHERE target = 1 AND source <> 1)
+      SELECT x.file AS dependent, in_degree, (SELECT count(*) FROM x) AS dependents, CASE WHEN (SELECT count(*) FROM x) >= 5 THEN 'HIGH' WHEN (SELECT count(*) FROM x) >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x JOIN d USING (file) ORDER BY in_degree DESC, dependent LIMIT 5"""),
+    "focus_metrics": (lambda s, d: graph.focus_metrics(users(s, d), 1), f"""WITH {_U}, n AS (SELECT * FROM e WHERE source = 1 OR target = 1), x AS (SELECT source AS file, 1 AS i, 0 AS x FROM n UNION ALL SELECT target, 0, 1 FROM n)
+      SELECT file, sum(i)::BIGINT AS imports, sum(x)::BIGINT AS exports, count(*) AS total, false AS circular, file = 1 OR count(*) > 5 AS is_hub, count(*) AS importance FROM x GROUP BY file"""),
+    "graph_stats": (lambda s, d: graph.graph_stats(users(s, d)), f"WITH {_U}, l AS ({_LOW}) SELECT (SELECT count(*) FROM (SELECT source FROM l UNION SELECT target FROM l)) AS files, (SELECT count(*) FROM l) AS links, (SELECT count(*) FROM l a JOIN l b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target) AS two_way"),
+    "strong_components": (lambda s, d: graph.strong_components(users(s, d)), f"""WITH RECURSIVE {_U}, l AS ({_LOW}), r AS (SELECT source, target FROM l UNION SELECT r.source, l.target FROM r JOIN l ON l.source = r.target),
+      m AS (SELECT a.source AS node, least(a.source, min(a.target)) AS component FROM r a JOIN r b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.source) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM m"""),
+    "directory_stats": (lambda s, d: graph.directory_stats(files(s, d)), f"WITH {_S} SELECT dir, count(*) AS files, string_agg(DISTINCT ext, ',' ORDER BY ext) AS extensions FROM f GROUP BY dir HAVING count(*) >= 2 ORDER BY files DESC, dir LIMIT 12"),
+    "path_scalars": (_scalars, f"""WITH {_S} SELECT path, ext, regexp_replace(basename, '(.)\\.[^.]*$', '\\1') AS stem, CASE WHEN rel LIKE 'node_modules/%' THEN 'third_party' WHEN rel LIKE 'tests/%' THEN 'test' ELSE 'app' END AS file_class,
+      regexp_extract(path, '[^/]*/[^/]*$') AS short, replace(regexp_replace(rel, '\\.py$', ''), '/', '.') AS module, rel LIKE 'node_modules/%' AS excluded FROM f"""),
+    "integrations": (lambda s, d: rules.integrations(files(s, d)), f"WITH {_S} SELECT path AS file, 'integration' AS family, CASE ext WHEN '.py' THEN 'HTTP client: requests' ELSE 'HTTP client: axios' END AS message FROM f WHERE regexp_matches(content, 'requests\\.(get|post|put|delete|patch)|axios\\.(get|post|put|delete|patch|request)')"),
+    "global_state": (lambda s, d: rules.global_state(files(s, d)), f"WITH {_S} SELECT path AS file, 'global_state' AS family, CASE ext WHEN '.py' THEN 'Module-level mutable state' WHEN '.ts' THEN 'Global mutable state' ELSE 'Singleton pattern' END AS message FROM f WHERE regexp_matches(content, '(?m)^CACHE = dict\\(|^let \\w+ = new Map|getInstance\\(\\)')"),
+    "line_explode": (_lines, "SELECT doc_id::VARCHAR AS path, count(*) AS n_lines, sum(length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')))::BIGINT AS trimmed_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"),
+    "page_links": (_hrefs, "SELECT href, count(DISTINCT page_id) AS pages, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY href"),
+    "fingerprint": (_fingerprint, "SELECT substr(sha256(concat_ws(':', p_name, p_size::VARCHAR)), 1, 16) AS digest, p_partkey FROM part"),
+    "debounce": (_debounce, """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS events FROM s GROUP BY user_id, n"""),
+    "imports": (_imports, f"""WITH {_S}, n AS (SELECT path, ext, regexp_extract(path, 'mod([0-9]+)', 1)::BIGINT AS k FROM f) SELECT path, m.module, m.symbols, m.is_default, m.line_no::BIGINT AS line_no FROM (SELECT path, unnest(CASE ext
+      WHEN '.py' THEN [{{'module': concat('mod', k + 35), 'symbols': 'a|b', 'is_default': false, 'line_no': 1}}, {{'module': concat('pkg.mod', k + 70), 'symbols': concat('pkg.mod', k + 70), 'is_default': true, 'line_no': 2}}, {{'module': concat('mod', k + 70), 'symbols': concat('mod', k + 70), 'is_default': true, 'line_no': 2}}]
+      WHEN '.ts' THEN [{{'module': concat('./mod', k + 35), 'symbols': 'D|x|z', 'is_default': true, 'line_no': 1}}, {{'module': concat('side', k), 'symbols': '*', 'is_default': false, 'line_no': 2}}]
+      WHEN '.java' THEN [{{'module': concat('com.x.Mod', k), 'symbols': concat('Mod', k), 'is_default': true, 'line_no': 1}}, {{'module': 'com.y', 'symbols': '*', 'is_default': false, 'line_no': 2}}]
+      WHEN '.cs' THEN [{{'module': concat('B.C', k), 'symbols': 'A', 'is_default': true, 'line_no': 1}}, {{'module': 'X.Y', 'symbols': '*', 'is_default': false, 'line_no': 2}}, {{'module': 'System.Text', 'symbols': 'Text', 'is_default': true, 'line_no': 3}}]
+      ELSE [{{'module': concat('a/b', k), 'symbols': concat('b', k), 'is_default': true, 'line_no': 1}}, {{'module': 'c/d', 'symbols': 'x', 'is_default': true, 'line_no': 2}}] END) AS m FROM n)"""),
+    "links": (_links, f"""WITH {_S}, n AS (SELECT path, ext, regexp_extract(path, 'mod([0-9]+)', 1)::BIGINT AS k FROM f), x AS (
+        SELECT path, k, ext, k + 35 AS t, CASE ext WHEN '.py' THEN 0.8::DOUBLE ELSE 0.95::DOUBLE END AS strength, CASE ext WHEN '.py' THEN 'a|b' ELSE 'D|x|z' END AS symbols FROM n WHERE ext IN ('.py', '.ts')
+        UNION ALL SELECT path, k, ext, k + 70, 0.85::DOUBLE, concat('pkg.mod', k + 70, '|mod', k + 70) FROM n WHERE ext = '.py')
+      SELECT x.path AS source, n.path AS target, x.strength, x.symbols FROM x JOIN n ON n.k = x.t"""),
+    "line_budget": (_budget, """WITH r AS (SELECT conv_id AS report, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total, text FROM conversations),
+      c AS (SELECT *, CASE WHEN total <= 6 THEN total ELSE coalesce(max(CASE WHEN (starts_with(text, '##') OR text = '---') AND n <= 2 THEN n - 1 END) OVER (PARTITION BY report), 2) END AS cut FROM r)
+      SELECT report, n AS ord, text FROM c WHERE n <= cut UNION ALL SELECT report, cut + 1 + i, CASE i WHEN 1 THEN concat(total - cut, ' lines omitted') WHEN 3 THEN 'end' ELSE '' END FROM c, range(4) t(i) WHERE n = 1 AND total > cut"""),
+    "circular_edges": (lambda s, d: graph.mark_circular(users(s, d)).groupBy("type").agg(F.count("*").alias("links"), F.round(F.sum("strength"), 6).alias("strength")), f"""WITH RECURSIVE {_U}, l AS ({_LOW}), r AS (SELECT source, target FROM l UNION SELECT r.source, l.target FROM r JOIN l ON l.source = r.target),
+      m AS (SELECT l.source, EXISTS (SELECT 1 FROM r WHERE r.source = l.target AND r.target = l.source) AS c FROM l) SELECT CASE WHEN c THEN 'circular' ELSE 'import' END AS type, count(*) AS links, round(sum(CASE WHEN c THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END), 6) AS strength FROM m GROUP BY 1"""),
+    "calls": (lambda s, d: extract.calls(files(s, d)).groupBy("callee", "is_external").agg(F.count("*").alias("n")), f"""WITH {_S}, c AS (SELECT unnest(regexp_extract_all(content, '([A-Za-z_]\\w*(\\.[A-Za-z_]\\w*)*)\\s*\\(', 1)) AS name FROM f)
+      SELECT regexp_extract(name, '[^.]*$') AS callee, contains(name, '.') AND NOT starts_with(name, 'self.') AND NOT starts_with(name, 'this.') AS is_external, count(*) AS n FROM c GROUP BY 1, 2"""),
+}
+
+QUERIES = {k: q for k, (q, _) in _DEFS.items()}
+ORACLES = {k: o for k, (_, o) in _DEFS.items() if o}

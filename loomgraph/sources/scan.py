@@ -1,0 +1,32 @@
+"""File scans to source_files rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+
+# The extensions that are scanned.
+EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "cpp", "c", "hpp", "h", "cs", "go", "rs", "rb", "php")
+
+
+def with_parts(files: DataFrame, root: str) -> DataFrame:
+    """files (path, content, ...) with rel, dir, basename, stem, ext and file_class."""
+    p = F.col("path")
+    out = files.withColumn("rel", P.relative(p, root)).withColumn("dir", P.dirname(p)).withColumn("basename", P.basename(p))
+    return out.withColumn("stem", P.stem(p)).withColumn("ext", P.extension(p)).withColumn("file_class", P.file_class(F.col("rel")))
+
+
+def scan(spark: SparkSession, root: str, never=(), content: bool = True) -> DataFrame:
+    """source_files below root: known extensions, no excluded folder, no empty content.
+
+    Folders are filtered on the path before content is touched; without ``content``
+    the column is never read.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
+    path = F.regexp_replace(F.col("path"), r"^file:/*(?=/)", "")
+    cols = [path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
+    files = raw.select(*cols, *([F.decode("content", "UTF-8").alias("content")] if content else []))
+    out = with_parts(files, root).filter(~P.is_excluded(F.col("rel"), never=never)).dropDuplicates(["path"])
+    return out.filter("content <> ''") if content else out
