@@ -37,7 +37,7 @@ def _candidates() -> Column:
 
     key = lambda stage, i, j, kind, k: F.struct(F.lit(stage).alias("stage"), i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), F.lower(k).alias("key"))
     rel = F.flatten(F.transform(variants, lambda v, i: F.transform(files_of(v), lambda c, j: key(1, i, j, "path", P.resolve(here, c)))))
-    base = F.transform(variants, lambda v, i: key(2, i, F.lit(0), "base", P.stem(v)))
+    base = F.transform(variants, lambda v, i: key(2, i, F.lit(0), "base", P.basename(v)))
     slashed = F.array(F.replace(m, F.lit("."), F.lit("/")))
     inner = F.filter(variants, lambda v: v.contains("/") & ~v.startswith("."))
     scoped = F.when(m.startswith("@"), F.array(F.substr(m, F.lit(2)), F.regexp_replace(m, r"^@[^/]*/", ""))).otherwise(F.array().cast("array<string>"))
