@@ -6,6 +6,7 @@ Parquet, so a lost executor never costs more than the running stage.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _own_dir: dict[str, str] = {}
+#: What a Python worker keeps between tasks of one operator.
+scratch: dict = {}
+
+
+def fresh_worker() -> None:
+    """Let go of what an earlier operator's tasks have left in this Python worker.
+
+    Workers serve many tasks, and an executor has several; freed memory goes back to
+    the system where the C library can do that.
+    """
+    scratch.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

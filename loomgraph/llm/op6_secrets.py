@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_worker, materialize
 
 KINDS = ("assign", "access", "hex", "random")
 # The known forms of the contract.
@@ -144,6 +144,7 @@ _DDL = "id long, base array<struct<start: long, kind: int, end: long>>, cand arr
 
 
 def _scan(batches):
+    fresh_worker()
     for batch in batches:
         base, cand = [], []
         for x in batch.column(1):
@@ -179,6 +180,7 @@ def redact(docs: DataFrame, text_col: str = "text", rate: float = RATE, mark: st
     place = docs.columns.index(text_col)
 
     def run(batches):
+        fresh_worker()
         for batch in batches:
             texts = []
             for x in batch.column(place):

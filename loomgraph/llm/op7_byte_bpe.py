@@ -24,18 +24,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_worker, scratch
+
 CACHE = 200_000
 NONE = 1 << 62
-_loaded: dict[str, dict[bytes, int]] = {}
-_coders: dict[tuple[str, str], ByteBpe] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to ranks from a file of base64 and number lines."""
-    if path not in _loaded:
-        with open(path, "rb") as f:
-            _loaded[path] = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
-    return _loaded[path]
+    with open(path, "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -127,9 +125,10 @@ class ByteBpe:
 
 def coder(path: str, pattern: str) -> ByteBpe:
     """The worker's coder; its cache serves the worker's later tasks too."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = ByteBpe(path, pattern)
-    return _coders[path, pattern]
+    if (path, pattern) not in scratch:
+        fresh_worker()
+        scratch[path, pattern] = ByteBpe(path, pattern)
+    return scratch[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
