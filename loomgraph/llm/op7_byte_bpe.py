@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_worker, scratch
 
-CACHE = 200_000
+CACHE, ROWS = 150_000, 256
 NONE = 1 << 62
 
 
@@ -131,23 +131,29 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return scratch[path, pattern]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of each row."""
-    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary()), ("decoded", pa.binary())] * keep)
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each row, and of ids and decoded what ``keep`` names.
+
+    Rows leave the worker ROWS at a time, so long outputs don't pile up.
+    """
+    kinds = {"ids": pa.binary(), "decoded": pa.binary()}
+    schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [(k, kinds[k]) for k in keep])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         bpe = coder(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            out = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = bpe.encode(text.as_py() or "")
-                decoded = bpe.decode(packed)
-                out.append((node, len(packed) // 4, sha(packed), sha(decoded)) + ((packed, decoded) if keep else ()))
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)] if out else [pa.array([], t.type) for t in schema], schema=schema)
-
-    ddl = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * keep
+            for at in range(0, batch.num_rows, ROWS):
+                part, out = batch.slice(at, ROWS), []
+                for node, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    packed = bpe.encode(text.as_py() or "")
+                    decoded = bpe.decode(packed)
+                    own = {"ids": packed, "decoded": decoded}
+                    out.append((node, len(packed) // 4, sha(packed), sha(decoded), *[own[k] for k in keep]))
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
+
+    ddl = ", ".join(["id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *[f"{k} binary" for k in keep]])
     return rows.mapInArrow(run, ddl)
 
 
@@ -156,5 +162,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
+    out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=())
     return out.withColumnRenamed("id", "doc_id")
