@@ -152,12 +152,12 @@ def test_mixing(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = op8_mixing.mix_sources(df).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
-    assert sorted(got) == sorted(op8_mixing.mix_sources(df.repartition(7)).collect())
+    assert sorted(got, key=str) == sorted(op8_mixing.mix_sources(df.repartition(7)).collect(), key=str)
     by = {}
     for r in got:
-        by.setdefault(r.target, [0, r.source_size])[0] += r.taken
-    assert all(abs(t - n) <= 3 and t <= 2 * s for t, (n, s) in by.items())
-    assert abs(sum(by) - 1.5 * sum(s for _, s in by.values())) < 1e-6
+        by[r.target, r.source_size] = by.get((r.target, r.source_size), 0) + r.taken
+    assert all(abs(t - n) <= 3 and t <= 2 * s for (t, s), n in by.items())
+    assert abs(sum(t for t, _ in by) - 1.5 * sum(s for _, s in by)) < 1e-6
     copies = op8_mixing.mix_copies(df)
     assert copies.columns == df.columns
     assert op8_mixing.mix_sources(df.limit(0)).count() == 0
