@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import fresh_worker, scratch
 
 CACHE, ROWS = 150_000, 256
-NONE = 1 << 62
+#: Above every rank; vocabularies are smaller.
+NO_RANK = (1 << 24) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,41 +40,56 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one match of the pattern.
 
-    ``tree`` is the segment tree: leaf size + i holds (rank, i) of the pair that
-    starts at byte i as one number, an inner node the lower of its two.
+    ``tree`` is the segment tree over the m places where two bytes meet: leaf m + i
+    holds (rank, i) of the pair of pieces that starts at byte i as one number, an
+    inner node the lower of its two, so tree[1] is the leftmost minimum of all.
+    Numbers stay as small as the match allows.
     """
     get = ranks.get
     whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    tree = [NONE] * (2 * size)
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r << 32 | i
-    for i in range(size - 1, 0, -1):
+    if not n:
+        return []
+    m = n - 1
+    shift = n.bit_length()
+    place, dead = (1 << shift) - 1, NO_RANK << shift
+    tree = [dead] * max(m, 2)
+    tree[m:] = [get(piece[i : i + 2], NO_RANK) << shift | i for i in range(m)]
+    for i in range(m - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     end = list(range(1, n + 2))  # of the live piece that starts here
     before = list(range(-1, n + 1))  # start of the live piece before
-    while (low := tree[1]) < NONE:
-        a = low & 0xFFFFFFFF
+    while (low := tree[1]) < dead:
+        a = low & place
         b = end[a]
         end[a] = c = end[b]
         before[c] = a
-        r = get(piece[a : end[c]]) if c < n else None
         p = before[a]
-        q = get(piece[p:c]) if p >= 0 else None
         # the pair of b is gone, those of a and of the piece before it are new
-        for i, value in ((b, NONE), (a, NONE if r is None else r << 32 | a), (p, NONE if q is None else q << 32 | p)):
-            if i < 0:
-                break
-            i += size
-            while i:
-                if tree[i] == value:
-                    break
+        if c < n:
+            i, value = m + b, dead
+            while i and tree[i] != value:
+                tree[i] = value
+                other = tree[i ^ 1]
+                if other < value:
+                    value = other
+                i >>= 1
+            value = get(piece[a : end[c]], NO_RANK) << shift | a
+        else:
+            value = dead
+        i = m + a
+        while i and tree[i] != value:
+            tree[i] = value
+            other = tree[i ^ 1]
+            if other < value:
+                value = other
+            i >>= 1
+        if p >= 0:
+            i, value = m + p, get(piece[p:c], NO_RANK) << shift | p
+            while i and tree[i] != value:
                 tree[i] = value
                 other = tree[i ^ 1]
                 if other < value:
