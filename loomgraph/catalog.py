@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import paths as P
-from .operators import extract, graph, resolve, rules, text
+from .operators import chains, conventions, extract, graph, report, resolve, rules, symbols, text
 from .plans import bindings as B
 from .plans.state import ensure_checkpoints
+from .sources import ignore
 from .streaming import changes
 
 supp = lambda s, d: B.view(s, d, B.EDGES_SUPP_PART, "lineitem")
 order = lambda s, d: B.view(s, d, B.EDGES_ORDER_PART, "lineitem")
 files = B.source_files
+code = B.code_files
 
 
 def users(s, d):
@@ -62,6 +64,44 @@ def _scalars(s, d):
     return files(s, d).select("path", "ext", "stem", "file_class", P.short_path(F.col("path")).alias("short"), P.module_name(rel).alias("module"), P.is_excluded(rel).alias("excluded"))
 
 
+def _ignored(s, d):
+    return files(s, d).select("path", ignore.is_ignored(F.col("rel"), ["# rules", "lib/", "*.java", "!src/**/*.java", "app"]).alias("ignored"))
+
+
+def _chains(s, d):
+    out = chains.dependency_chains(users(s, d))
+    return out.select(F.array_join("chain", ">").alias("chain"), F.col("depth").cast("long").alias("depth"), "start_path", "starts_from_entry")
+
+
+def _circular(s, d):
+    return chains.circular_pairs(graph.mark_circular(users(s, d)))
+
+
+def _cycle_count(s, d):
+    return chains.cycle_count(graph.mark_circular(users(s, d)))
+
+
+def _symbol_index(s, d):
+    f = files(s, d)
+    return conventions.symbol_index(f, resolve.links(resolve.resolve_imports(extract.imports(f), f)), rules.integrations(f))
+
+
+def _report(kind, view=files):
+    def query(s, d):
+        f = view(s, d)
+        links = resolve.links(resolve.resolve_imports(extract.imports(f), f)).select("source", "target", "type", "strength")
+        return report.build(kind, f, links, "0")
+    return query
+
+
+def _walk_sql(hops: int) -> str:
+    """CTEs w0..w<hops> over l and the starts s(start)."""
+    out = ["w0 AS (SELECT start, [start] AS chain FROM s)"]
+    for i in range(hops):
+        out.append(f"n{i} AS (SELECT start, min(target) AS t FROM w{i} JOIN l ON l.source = chain[-1] WHERE len(chain) = {i + 1} AND NOT list_contains(chain, target) GROUP BY start), w{i + 1} AS (SELECT start, CASE WHEN t IS NULL THEN chain ELSE list_append(chain, t) END AS chain FROM w{i} LEFT JOIN n{i} USING (start))")
+    return ", ".join(out)
+
+
 _E = f"e AS ({B.EDGES_SUPP_PART})"
 _U = f"e AS ({B.EDGES_USER_NEXT})"
 _D = "d AS (SELECT file, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT source AS file, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e) GROUP BY file)"
@@ -114,6 +154,40 @@ _DEFS = {
     "calls": (lambda s, d: extract.calls(files(s, d)).groupBy("callee", "is_external").agg(F.count("*").alias("n")), f"""WITH {_S}, c AS (SELECT unnest(regexp_extract_all(content, '([A-Za-z_]\\w*(\\.[A-Za-z_]\\w*)*)\\s*\\(', 1)) AS name FROM f)
       SELECT regexp_extract(name, '[^.]*$') AS callee, contains(name, '.') AND NOT starts_with(name, 'self.') AND NOT starts_with(name, 'this.') AS is_external, count(*) AS n FROM c GROUP BY 1, 2"""),
 }
+_C = f"f AS (SELECT *, regexp_extract(path, 'f([0-9]+)\\.', 1) AS k, regexp_extract(path, '(\\.[^.]*)$', 1) AS ext FROM ({B.CODE_FILES}))"
+_MARKED = f"""WITH RECURSIVE {_U}, l AS ({_LOW}), r AS (SELECT source, target FROM l UNION SELECT r.source, l.target FROM r JOIN l ON l.source = r.target),
+      m AS (SELECT l.source, l.target, EXISTS (SELECT 1 FROM r WHERE r.source = l.target AND r.target = l.source) AS c FROM l)"""
+_REL = "{'n': concat(%s), 'k': '%s', 's': %s, 'b': %s, 'o': %d}"
+_one = lambda name, kind, sign, base, ord_: _REL % (name, kind, sign, base, ord_)
+_DEFS |= {
+    "data_models": (lambda s, d: symbols.data_models(code(s, d)), f"""WITH {_C} SELECT path AS file, m.f AS family, m.n AS name, m.s AS signature FROM (SELECT path, unnest(CASE ext
+      WHEN '.py' THEN [{{'f': 'dataclass', 'n': concat('D', k), 's': 'x, y'}}, {{'f': 'validated', 'n': concat('M', k), 's': 'tag'}}] WHEN '.ts' THEN [{{'f': 'interface', 'n': concat('I', k), 's': 'id, tag'}}]
+      WHEN '.java' THEN [{{'f': 'record', 'n': concat('R', k), 's': 'int a, int b'}}] ELSE [] END) AS m FROM f)"""),
+    "symbols": (lambda s, d: symbols.symbols(code(s, d)).drop("exported"), f"""WITH {_C} SELECT path, m.n AS name, m.k AS kind, m.s AS signature, m.b AS inherits, m.o::BIGINT AS ord FROM (SELECT path, unnest(CASE ext
+      WHEN '.py' THEN [{_one("'D', k", "class", "NULL", "NULL", 2)}, {_one("'M', k", "class", "NULL", "'BaseModel'", 5)}, {_one("'get_item'", "function", "'(a, b)'", "NULL", 7)}]
+      WHEN '.ts' THEN [{_one("'I', k", "interface", "NULL", "NULL", 1)}, {_one("'handleReq'", "function", "'(a, b)'", "NULL", 5)}]
+      WHEN '.java' THEN [{_one("'R', k", "record", "'(int a, int b)'", "NULL", 1)}, {_one("'C', k", "class", "NULL", "'Base'", 2)}, {_one("'getAll'", "method", "'(int n)'", "NULL", 3)}]
+      ELSE [{_one("'Run', k", "function", "'(a int)'", "NULL", 1)}] END) AS m FROM f)"""),
+    "function_naming": (lambda s, d: symbols.function_naming(code(s, d), None), f"WITH {_C} SELECT CASE ext WHEN '.ts' THEN 'handle' ELSE 'get' END AS verb, count(*) AS n, min(CASE ext WHEN '.ts' THEN 'handleReq' WHEN '.py' THEN 'get_item' ELSE 'getAll' END) AS example FROM f WHERE ext <> '.go' GROUP BY 1"),
+    "frameworks": (lambda s, d: conventions.frameworks(code(s, d)), f"WITH {_C} SELECT DISTINCT 'FastAPI' AS name FROM f WHERE contains(path, '/api/')"),
+    "layer_flows": (lambda s, d: conventions.layer_flows(code(s, d)), f"WITH {_C} SELECT 'API request flow' AS name FROM f WHERE contains(path, 'handler') UNION SELECT 'Data flow' FROM f WHERE contains(path, 'service')"),
+    "test_organisation": (lambda s, d: conventions.test_organisation(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("stem"), F.col("p_brand").alias("dir"))), "SELECT p_brand AS dir, count(*) AS files FROM part WHERE regexp_matches(lower(p_name), 'test|spec') GROUP BY 1"),
+    "symbol_index": (_symbol_index, f"""WITH {_S}, n AS (SELECT path, rel, ext, regexp_extract(path, 'mod([0-9]+)', 1)::BIGINT AS k FROM f),
+      x AS (SELECT k AS s, k + 35 AS t FROM n WHERE ext IN ('.py', '.ts') UNION ALL SELECT k, k + 70 FROM n WHERE ext = '.py'), e AS (SELECT x.s, x.t FROM x JOIN n ON n.k = x.t),
+      i AS (SELECT t AS k, count(*) AS c FROM e GROUP BY 1), o AS (SELECT s AS k, count(*) AS c FROM e GROUP BY 1)
+      SELECT path AS file, (2 * coalesce(i.c, 0) + coalesce(o.c, 0) + CASE WHEN ext IN ('.py', '.ts') THEN 25 ELSE 0 END - CASE WHEN rel LIKE 'tests/%' THEN 10 ELSE 0 END)::BIGINT AS score
+      FROM n LEFT JOIN i USING (k) LEFT JOIN o USING (k) WHERE rel NOT LIKE 'node_modules/%' ORDER BY score DESC, file LIMIT 40"""),
+    "circular_pairs": (_circular, f"{_MARKED} SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM m WHERE c ORDER BY a, b LIMIT 5"),
+    "cycle_count": (_cycle_count, f"{_MARKED} SELECT ceil(count(*) FILTER (c) / 2)::BIGINT AS cycles FROM m"),
+    "dependency_chains": (_chains, f"""WITH {_U}, l AS ({_LOW}), s AS (SELECT target AS start FROM l GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8), {_walk_sql(4)}
+      SELECT list_aggregate(chain::VARCHAR[], 'string_agg', '>') AS chain, len(chain) AS depth, start AS start_path, false AS starts_from_entry FROM w4 WHERE len(chain) >= 3 ORDER BY len(w4.chain) DESC, start LIMIT 5"""),
+    "directory_clusters": (lambda s, d: chains.directory_clusters(files(s, d).select(F.col("path").alias("source"), F.col("path").alias("target"))), f"WITH {_S} SELECT dir AS name, count(*) AS files FROM f GROUP BY dir HAVING count(*) >= 3 ORDER BY files DESC, name LIMIT 3"),
+    "ignore_rules": (_ignored, f"WITH {_S} SELECT path, rel LIKE 'lib/%' OR rel LIKE 'app/%' OR (ext = '.java' AND rel NOT LIKE 'src/%') AS ignored FROM f"),
+    "module_clusters": (lambda s, d: chains.module_clusters(order(s, d)).withColumn("files", F.array_join("files", "|")), None),
+    "report_architecture": (_report("architecture"), None),
+    "report_map": (_report("map", code), None),
+    "report_context": (_report("context"), None),
+}
 
 QUERIES = {k: q for k, (q, _) in _DEFS.items()}
 ORACLES = {k: o for k, (_, o) in _DEFS.items() if o}

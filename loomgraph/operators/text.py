@@ -38,3 +38,24 @@ def line_budget(report: DataFrame, most: int) -> DataFrame:
     kept = r.filter("n <= cut").select("report", F.col("n").alias("ord"), "text")
     tail = r.filter("n = 1 and total > cut").select("report", "cut", F.posexplode(F.array(F.lit(""), F.concat((F.col("total") - F.col("cut")).cast("string"), F.lit(" lines omitted")), F.lit(""), F.lit("end"))).alias("i", "text"))
     return kept.unionByName(tail.select("report", (F.col("cut") + 1 + F.col("i")).alias("ord"), "text"))
+
+
+VERSION = "0.1.0"
+
+
+def write_state(current: DataFrame, folder: str, generated_at: str = "") -> None:
+    """Keep a fingerprint's one row as JSON."""
+    current.withColumn("version", F.lit(VERSION)).withColumn("generated_at", F.lit(generated_at)).coalesce(1).write.mode("overwrite").json(folder)
+
+
+def is_stale(current: DataFrame, folder: str) -> bool:
+    """No record, another version or another fingerprint."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        kept = current.sparkSession.read.schema("fingerprint string, version string").json(folder).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = None
+    return kept is None or kept.version != VERSION or kept.fingerprint != current.first().fingerprint

@@ -24,6 +24,16 @@ FROM (SELECT p_partkey AS k, concat('mod', p_partkey) AS stem,
     CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.java' WHEN 3 THEN '.cs' ELSE '.go' END AS ext
   FROM part) p"""
 
+#: Files with definitions, a few kinds by language.
+CODE_FILES = f"""SELECT concat('/w/', dir, '/f', k, ext) AS path,
+  CASE ext
+    WHEN '.py' THEN concat('@dataclass', {_NL}, 'class D', k, ':', {_NL}, '    x: int', {_NL}, '    y: int', {_NL}, 'class M', k, '(BaseModel):', {_NL}, '    tag: str', {_NL}, 'def get_item(a, b):', {_NL}, '    pass')
+    WHEN '.ts' THEN concat('export interface I', k, ' {{', {_NL}, '  id: number;', {_NL}, '  tag: string;', {_NL}, '}}', {_NL}, 'export function handleReq(a, b) {{}}')
+    WHEN '.java' THEN concat('public record R', k, '(int a, int b) {{}}', {_NL}, 'public class C', k, ' extends Base {{', {_NL}, '  public int getAll(int n) {{ return n; }}', {_NL}, '}}')
+    ELSE concat('func Run', k, '(a int) {{}}') END AS content
+FROM (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'model' ELSE 'tests' END AS dir,
+    CASE p_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.java' ELSE '.go' END AS ext FROM part) p"""
+
 
 def view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
     """The statement over one table of a folder."""
@@ -33,3 +43,7 @@ def view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_parts(view(spark, sf_dir, SOURCE_FILES, "part"), "/w")
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_parts(view(spark, sf_dir, CODE_FILES, "part"), "/w")

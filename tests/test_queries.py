@@ -6,7 +6,7 @@ import pytest
 from loomgraph import catalog
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.ORACLES))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
     want = duck.execute(catalog.ORACLES[name]).df()
