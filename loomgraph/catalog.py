@@ -170,8 +170,8 @@ _DEFS |= {
       ELSE [{_one("'Run', k", "function", "'(a int)'", "NULL", 1)}] END) AS m FROM f)"""),
     "function_naming": (lambda s, d: symbols.function_naming(code(s, d), None), f"WITH {_C} SELECT CASE ext WHEN '.ts' THEN 'handle' ELSE 'get' END AS verb, count(*) AS n, min(CASE ext WHEN '.ts' THEN 'handleReq' WHEN '.py' THEN 'get_item' ELSE 'getAll' END) AS example FROM f WHERE ext <> '.go' GROUP BY 1"),
     "frameworks": (lambda s, d: conventions.frameworks(code(s, d)), f"WITH {_C} SELECT DISTINCT 'FastAPI' AS name FROM f WHERE contains(path, '/api/')"),
-    "layer_flows": (lambda s, d: conventions.layer_flows(code(s, d)), f"WITH {_C} SELECT 'API request flow' AS name FROM f WHERE contains(path, 'handler') UNION SELECT 'Data flow' FROM f WHERE contains(path, 'service')"),
-    "test_organisation": (lambda s, d: conventions.test_organisation(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("stem"), F.col("p_brand").alias("dir"))), "SELECT p_brand AS dir, count(*) AS files FROM part WHERE regexp_matches(lower(p_name), 'test|spec') GROUP BY 1"),
+    "layer_flows": (lambda s, d: conventions.layer_flows(code(s, d).withColumn("path", F.concat(F.lit("/w/service"), "path"))), f"WITH {_C} SELECT DISTINCT 'Data flow' AS name FROM f WHERE contains(path, 'model')"),
+    "test_organisation": (lambda s, d: conventions.test_organisation(s.read.parquet(f"{d}/part.parquet").select(F.concat(F.when(F.col("p_size") % 3 == 0, "Test").otherwise("x"), "p_name").alias("stem"), F.col("p_brand").alias("dir"))), "SELECT p_brand AS dir, count(*) AS files FROM part WHERE p_size % 3 = 0 OR regexp_matches(lower(p_name), 'test|spec') GROUP BY 1"),
     "symbol_index": (_symbol_index, f"""WITH {_S}, n AS (SELECT path, rel, ext, regexp_extract(path, 'mod([0-9]+)', 1)::BIGINT AS k FROM f),
       x AS (SELECT k AS s, k + 35 AS t FROM n WHERE ext IN ('.py', '.ts') UNION ALL SELECT k, k + 70 FROM n WHERE ext = '.py'), e AS (SELECT x.s, x.t FROM x JOIN n ON n.k = x.t),
       i AS (SELECT t AS k, count(*) AS c FROM e GROUP BY 1), o AS (SELECT s AS k, count(*) AS c FROM e GROUP BY 1)
