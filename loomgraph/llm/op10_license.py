@@ -72,7 +72,8 @@ def _starts(entry: dict) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("w"), i) == word)
         return F.flatten(F.transform(at, lambda p: F.transform(here, lambda t: p - t)))
 
-    found = by(entry["lookup"][0])
+    # a start can come from several places of one word
+    found = F.array_distinct(by(entry["lookup"][0]))
     for word in entry["lookup"][1:]:
         found = F.array_intersect(found, by(word))
     return F.filter(found, lambda s: s >= 0)
