@@ -113,10 +113,14 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, end, stratum, chance in steps) of runs that overlap no known form."""
     if max(map(len, text.split()), default=0) < SHORTEST:
         return []
-    out = []
+    out, at, reach = [], 0, 0
     for m in RUN.finditer(text):
         lo, hi = m.span()
-        if any(s < hi and lo < e for s, _, e in known) or (encoding := infer_encoding(m[0])) is None:
+        # both are in order: how far the known forms that start before hi reach
+        while at < len(known) and known[at][0] < hi:
+            reach = max(reach, known[at][2])
+            at += 1
+        if reach > lo or (encoding := infer_encoding(m[0])) is None:
             continue
         stratum = encoding * (len(LENGTHS) + 1) + sum(hi - lo >= x for x in LENGTHS)
         out.append((lo, hi, stratum, min(STEPS - 1, int(randomness(m[0], encoding) * STEPS))))
