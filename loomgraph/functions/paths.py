@@ -12,6 +12,11 @@ EXCLUDED = (
     "__pycache__", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".hypothesis", "coverage", "htmlcov", ".nyc_output", ".coverage",
     ".git", ".hg", ".svn", ".idea", ".vs", ".vscode", "generated", "__generated__", ".serverless", ".terraform", ".pulumi",
     ".next", ".nuxt", ".output", ".turbo", ".parcel-cache", "venv", ".venv", ".tox", ".nox")
+# Folders that only the broad profile excludes by name.
+BUILD_OUTPUT = ("dist", "build", "out", "output", "target", "bin", "obj", "lib", ".next", ".nuxt", ".output", ".turbo", ".parcel-cache", ".webpack", ".rollup.cache")
+ENVIRONMENTS = ("venv", ".venv", "env", ".env", "virtualenv", ".virtualenv", ".tox", ".nox", ".conda")
+TEST_OUTPUT = ("e2e", "playwright-report", "test-results", "cypress", ".playwright")
+PROFILES = {"standard": EXCLUDED, "broad": tuple(dict.fromkeys(EXCLUDED + BUILD_OUTPUT + ENVIRONMENTS + TEST_OUTPUT))}
 TEST_DIRS = ("test", "tests", "spec", "__tests__")
 
 

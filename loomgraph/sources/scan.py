@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import paths as P
 
 # The extensions that are scanned.
 EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "cpp", "c", "hpp", "h", "cs", "go", "rs", "rb", "php")
+# Fixed values: (id, file or folder at the root) of the assistants that are looked for.
+ASSISTANTS = (("copilot", ".github/copilot-instructions.md"), ("cursor", ".cursor"), ("cursor", ".cursorrules"), ("claude", "CLAUDE.md"), ("other", "AGENTS.md"))
 
 
 def with_parts(files: DataFrame, root: str) -> DataFrame:
@@ -18,15 +22,34 @@ def with_parts(files: DataFrame, root: str) -> DataFrame:
     return out.withColumn("stem", P.stem(p)).withColumn("ext", P.extension(p)).withColumn("file_class", P.file_class(F.col("rel")))
 
 
-def scan(spark: SparkSession, root: str, never=(), content: bool = True) -> DataFrame:
+def first_paths(files: DataFrame, most: int, by_extension: bool = True) -> DataFrame:
+    """(path) of the ``most`` smallest paths, of each extension or of all: ordered limits, so no task sorts all paths."""
+    paths = files.select("path", "ext")
+    parts = [paths.filter(F.col("ext") == f".{e}") for e in EXTENSIONS] if by_extension else [paths]
+    return reduce(DataFrame.union, [p.select("path").orderBy("path").limit(most) for p in parts])
+
+
+def scan(spark: SparkSession, root: str, never=(), content: bool = True, profile: str = "standard", most: int | None = None, by_extension: bool = True) -> DataFrame:
     """source_files below root: known extensions, no excluded folder, no empty content.
 
     Folders are filtered on the path before content is touched; without ``content``
-    the column is never read.
+    the column is never read. The ``broad`` profile also excludes build, environment
+    and test-output folders by name. ``most`` keeps only the first paths of each
+    extension (or of all), chosen from a listing without content.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
     path = F.regexp_replace(F.col("path"), r"^file:/*(?=/)", "")
     cols = [path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
+    keep = ~P.is_excluded(F.col("rel"), names=P.PROFILES[profile], never=never)
     files = raw.select(*cols, *([F.decode("content", "UTF-8").alias("content")] if content else []))
-    out = with_parts(files, root).filter(~P.is_excluded(F.col("rel"), never=never)).dropDuplicates(["path"])
+    out = with_parts(files, root).filter(keep).dropDuplicates(["path"])
+    if most is not None:
+        listed = with_parts(raw.select(*cols), root).filter(keep).dropDuplicates(["path"])
+        out = out.join(first_paths(listed, most, by_extension), "path", "left_semi")
     return out.filter("content <> ''") if content else out
+
+
+def assistants(listing: DataFrame, probes=ASSISTANTS) -> DataFrame:
+    """(id): the assistants of whose probes a file or folder is in the listing (rel), in one pass over it."""
+    hits = [F.when((F.col("rel") == p) | F.col("rel").startswith(p + "/"), name) for name, p in probes]
+    return listing.select(F.explode(F.array_compact(F.array(*hits))).alias("id")).distinct()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import paths as P
 from loomgraph.operators import extract, graph, resolve, rules, text
 from loomgraph.plans.state import ensure_checkpoints
-from loomgraph.sources.scan import scan, with_parts
+from loomgraph.sources.scan import assistants, scan, with_parts
 
 
 def workspace(spark, files: dict):
@@ -91,3 +91,21 @@ def test_scan(spark, tmp_path):
         p.write_text(body)
     got = scan(spark, str(tmp_path)).collect()
     assert [(r.rel, r.content, r.ext) for r in got] == [("a.py", "import b", ".py")]
+
+
+def test_scan_profiles(spark, tmp_path):
+    for name in ("a.py", "b.py", "c.ts", "out/d.py", "e2e/e.ts", "vendor/f.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    names = lambda **k: {r.rel for r in scan(spark, str(tmp_path), **k).collect()}
+    assert names() == {"a.py", "b.py", "c.ts", "out/d.py", "e2e/e.ts"}
+    assert names(profile="broad") == {"a.py", "b.py", "c.ts"}
+    assert names(profile="broad", never=["out"], content=False) == {"a.py", "b.py", "c.ts", "out/d.py"}
+    assert names(most=1) == {"a.py", "c.ts"}
+    assert names(most=2, by_extension=False) == {"a.py", "b.py"}
+
+
+def test_assistants(spark):
+    listing = spark.createDataFrame([(".cursor/rules",), ("AGENTS.md",), ("docs/CLAUDE.md",), (".cursorrules",), (None,)], "rel string")
+    assert {r.id for r in assistants(listing).collect()} == {"cursor", "other"}
+    assert assistants(listing.limit(0)).count() == 0
