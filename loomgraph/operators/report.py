@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.state import ensure_checkpoints
 from . import chains, conventions, graph, rules, symbols
 from .text import line_budget
 
@@ -24,8 +25,11 @@ def _section(rows: DataFrame, title: str, text, order: list) -> DataFrame:
 def build(kind: str, files: DataFrame, links: DataFrame, generated_at: str = "") -> DataFrame:
     """report_lines of one report: architecture, map or context, within its line budget.
 
-    A section without rows is left out. ``generated_at`` closes the report.
+    A section without rows is left out. ``generated_at`` closes the report. The links
+    are checkpointed first: sections walk them many times.
     """
+    ensure_checkpoints(files.sparkSession)
+    links = links.checkpoint()
     c, s = F.col, lambda x: F.col(x).cast("string")
     if kind == "architecture":
         parts = [
