@@ -2,7 +2,8 @@
 
 Known forms (kinds assign, access, hex) always stay. Any other run of SHORTEST or
 more characters of the base64 alphabets with a letter and a digit, outside the
-known forms, is a candidate. Its encoding is inferred (hex, base32, alphanumeric,
+known forms, is a candidate; = is padding at a run's end and parts it elsewhere,
+so the value after NAME= is one of its own. Its encoding is inferred (hex, base32, alphanumeric,
 base64), and its symbols' numbers are tested for uniformity (chi-squared over
 equal ranges), for runs about the middle and for serial correlation; Fisher's
 method combines the three into the chance of such a result for a random string.
@@ -35,6 +36,7 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 SHORTEST, RATE, STEPS = 20, 0.05, 1000
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+PART = re.compile(r"[^=]+=*\Z|[^=]+")
 #: name, alphabet, ranges of the uniformity test
 ENCODINGS = (
     ("hex", "0123456789abcdef", 16),
@@ -109,21 +111,32 @@ def randomness(s: str, encoding: int) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def _parts(text: str):
+    """(start, end) of runs and, where = stands within one, of its parts that are long enough."""
+    for m in RUN.finditer(text):
+        lo = m.start()
+        if "=" not in m[0]:
+            yield m.span()
+            continue
+        for p in PART.finditer(m[0]):
+            if p.end() - p.start() >= SHORTEST:
+                yield lo + p.start(), lo + p.end()
+
+
 def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, chance in steps) of runs that overlap no known form."""
     if max(map(len, text.split()), default=0) < SHORTEST:
         return []
     out, at, reach = [], 0, 0
-    for m in RUN.finditer(text):
-        lo, hi = m.span()
+    for lo, hi in _parts(text):
         # both are in order: how far the known forms that start before hi reach
         while at < len(known) and known[at][0] < hi:
             reach = max(reach, known[at][2])
             at += 1
-        if reach > lo or (encoding := infer_encoding(m[0])) is None:
+        if reach > lo or (encoding := infer_encoding(text[lo:hi])) is None:
             continue
         stratum = encoding * (len(LENGTHS) + 1) + sum(hi - lo >= x for x in LENGTHS)
-        out.append((lo, hi, stratum, min(STEPS - 1, int(randomness(m[0], encoding) * STEPS))))
+        out.append((lo, hi, stratum, min(STEPS - 1, int(randomness(text[lo:hi], encoding) * STEPS))))
     return out
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from loomgraph.llm import op2_ngram_jaccard
+from loomgraph.llm import op2_ngram_jaccard, op6_secrets
 
 DOC = "doc_id long, text string"
 
@@ -42,3 +42,21 @@ def test_short_copies_around_a_common_passage(spark):
         rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
     got = op2_ngram_jaccard.ngram_jaccard_groups(spark.createDataFrame(rows, DOC)).collect()
     assert {r.node: r.component for r in got} == components(rows)
+
+
+def test_unquoted_values_are_candidates(spark):
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = [f"{name}{(v := key if name.startswith('AWS') else ''.join(rng.choices(letters, k=40)))}{end}" for name in ("AWS_SECRET_ACCESS_KEY=", "SIGNING_KEY=", "https://a.org/x?sig=", "auth=") for end in ("", "==", "&x=1", " z")]
+    for text in texts:
+        at = text.index("=") + 1
+        end = at + 40 + (2 if text.endswith("==") else 0)
+        assert (at, end) in [c[:2] for c in op6_secrets.candidates(text, op6_secrets.known_spans(text))]
+    padded = "QUJDREVGR0hJSktMT1=="  # 18 characters and padding: as before
+    assert [c[:2] for c in op6_secrets.candidates(padded, [])] == [(0, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    spans = {r.id: [(s.start, s.end) for s in r.spans] for r in op6_secrets.secret_spans(docs, rate=0.0).collect()}
+    assert all(any(s <= t.index("=") + 1 and e >= t.index("=") + 41 for s, e in spans[i]) for i, t in enumerate(texts))
+    for r in op6_secrets.redact(docs, rate=0.0).collect():
+        assert "[secret]" in r.text and key not in r.text
