@@ -1,7 +1,8 @@
 """License scan by a positional rare-token index, all in SQL functions.
 
-Templates (label, words, key phrase) are indexed by their words of highest
-inverse document frequency, counted over all documents: LOOKUPS of them each. A
+Templates (label, words, key phrase) are indexed by the words of their key phrase,
+which must stand whole whatever else differs: the LOOKUPS of them of highest inverse
+document frequency, counted over all documents. A
 file is looked up by the index words that it has, highest first. The positions
 of a template's lookup words in the file give the starts that the template could
 have; starts on which all of its lookup words agree are compared word by word,
@@ -66,9 +67,10 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "tex
 
 def _starts(entry: dict) -> Column:
     """Word positions of the file at which all lookup words put the template's start."""
+    lo, size = entry["key"]
 
     def by(word: str) -> Column:
-        here = F.array(*[F.lit(i) for i, w in enumerate(entry["words"]) if w == word])
+        here = F.array(*[F.lit(lo + i) for i, w in enumerate(entry["words"][lo : lo + size]) if w == word])
         at = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("w"), i) == word)
         return F.flatten(F.transform(at, lambda p: F.transform(here, lambda t: p - t)))
 
@@ -105,7 +107,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     idf = {w: math.log((n + 1) / (df[w] + 1)) for w in vocabulary}
     rare = lambda words: sorted(set(words), key=lambda w: (-idf[w], w))
     for e in entries:
-        e["lookup"] = rare(e["words"])[:lookups]
+        lo, size = e["key"]
+        e["lookup"] = rare(e["words"][lo : lo + size])[:lookups]
     index = rare(w for e in entries for w in e["lookup"])
     rows = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("w"))
     rows = rows.withColumn("n", F.size("w")).withColumn("present", F.array_intersect(F.array(*map(F.lit, index)), F.col("w")))

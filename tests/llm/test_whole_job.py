@@ -2,7 +2,7 @@
 
 import random
 
-from loomgraph.llm import op2_ngram_jaccard, op6_secrets
+from loomgraph.llm import op10_license, op2_ngram_jaccard, op6_secrets
 
 DOC = "doc_id long, text string"
 
@@ -60,3 +60,17 @@ def test_unquoted_values_are_candidates(spark):
     assert all(any(s <= t.index("=") + 1 and e >= t.index("=") + 41 for s, e in spans[i]) for i, t in enumerate(texts))
     for r in op6_secrets.redact(docs, rate=0.0).collect():
         assert "[secret]" in r.text and key not in r.text
+
+
+def test_templates_with_any_word_replaced(spark):
+    texts = []
+    for _, words, _ in op10_license.TEMPLATES:
+        w = words.split()
+        texts += [" ".join(["x", *w[:i], "other", *w[i + 1 :], "y"]) for i in range(len(w))]
+    # the replaced word is rare where the other words are everywhere
+    for lot in (texts, [texts[i] for i in range(0, len(texts), 7)]):
+        out = op10_license.license_scan(spark.createDataFrame(list(enumerate(lot)), DOC)).collect()
+        for r in out:
+            want = op10_license.brute_force(lot[r.id])["found"]
+            assert sorted((f.label, f.base, f.start) for f in r.found) == [f[:3] for f in want]
+        assert sum(len(r.found) for r in out) > len(lot) // 3
