@@ -10,7 +10,7 @@ from ..sources.scan import with_parts
 EDGES_SUPP_PART = "SELECT DISTINCT concat('s', l_suppkey) AS source, concat('p', l_partkey) AS target, 'import' AS type, 0.75 AS strength FROM lineitem"
 EDGES_ORDER_PART = "SELECT DISTINCT concat('o', l_orderkey) AS source, concat('p', l_partkey) AS target, 'import' AS type, 0.75 AS strength FROM lineitem"
 EDGES_USER_NEXT = """SELECT DISTINCT source, target, 'import' AS type, CAST(0.75 AS DOUBLE) AS strength FROM (
-  SELECT lag(user_id) OVER (ORDER BY ts, event_id) AS source, user_id AS target FROM events WHERE event_id % 3 = 0) x WHERE source <> target"""
+  SELECT lag(user_id) OVER (ORDER BY ts, event_id) AS source, user_id AS target FROM events) x WHERE source <> target"""
 _NL = "chr(10)"
 SOURCE_FILES = f"""SELECT concat('/w/', dir, '/', stem, ext) AS path,
   CASE ext
