@@ -69,8 +69,8 @@ def test_pages(spark):
 def test_vectors(spark):
     for rows in ([(1, [1.0, 0.0], 1), (2, [2.0, 0.0], None), (2, [2.0, 0.0], None), (None, None, None), (3, [], 0), (4, [1.0], 0)], [], [(None, None, None)]):
         out = op5_embedding_dedup.near_embeddings(wide(spark, rows, "vec_id long, embedding array<double>, label int")).collect()
-        assert {r.id for r in out} == {r[0] for r in rows}
-        assert [(r.n_links, r.component) for r in out if r.id == 2] == ([(1, 1)] if len(rows) > 3 else [])
+        assert sorted(str(r.id) for r in out) == sorted(str(r[0]) for r in rows)  # a row for each vector
+        assert [(r.n_links, r.component) for r in out if r.id == 2] == ([(2, 1), (2, 1)] if len(rows) > 3 else [])
 
 
 @pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])

@@ -2,7 +2,11 @@
 
 import random
 
-from loomgraph.llm import op10_license, op2_ngram_jaccard, op6_secrets
+import numpy as np
+import pytest
+from test_llm import closure, links_of
+
+from loomgraph.llm import op10_license, op2_ngram_jaccard, op5_embedding_dedup, op6_secrets
 
 DOC = "doc_id long, text string"
 
@@ -12,22 +16,30 @@ def shingles(text, n=3):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def components(rows, num=90):
-    """The smallest linked id of every document, by comparing all pairs."""
-    sets, lead = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+def linked(rows, n=3, num=90):
+    """The linked pairs, by counting what every pair has in common."""
+    sets, owners, both = {i: shingles(t, n) for i, t in rows}, {}, {}
+    for i, s in sets.items():
+        for x in s:
+            for other in owners.setdefault(x, []):
+                both[other, i] = both.get((other, i), 0) + 1
+            owners[x].append(i)
+    return [(a, b) for (a, b), c in both.items() if 100 * c >= num * (len(sets[a]) + len(sets[b]) - c)]
+
+
+def components(rows, n=3, num=90):
+    """The smallest linked id of every document."""
+    lead = {i: i for i, _ in rows}
 
     def root(i):
         while lead[i] != i:
             i = lead[i]
         return i
 
-    for x in sets:
-        for y in sets:
-            both = len(sets[x] & sets[y])
-            if x < y and both and 100 * both >= num * len(sets[x] | sets[y]):
-                a, b = sorted((root(x), root(y)))
-                lead[b] = a
-    return {i: root(i) for i in sets}
+    for x, y in linked(rows, n, num):
+        a, b = sorted((root(x), root(y)))
+        lead[b] = a
+    return {i: root(i) for i in lead}
 
 
 def test_short_copies_around_a_common_passage(spark):
@@ -74,3 +86,77 @@ def test_templates_with_any_word_replaced(spark):
             want = op10_license.brute_force(lot[r.id])["found"]
             assert sorted((f.label, f.base, f.start) for f in r.found) == [f[:3] for f in want]
         assert sum(len(r.found) for r in out) > len(lot) // 3
+
+
+def passages(seed):
+    """150 groups of ten documents around a passage of 82 words; two of each are near copies."""
+    rng, rows = random.Random(seed), []
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    for _ in range(150):
+        passage = [word() for _ in range(82)]
+        for k in range(10):
+            text = [word() for _ in range(rng.randint(5, 120))] + passage + [word() for _ in range(rng.randint(5, 120))]
+            if k == 1:
+                text = list(first)
+                for _ in range(rng.randint(1, 3)):
+                    text[rng.randrange(len(text))] = word()
+            first = text if k == 0 else first
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("sample", [0, 100, 8000])
+def test_links_are_the_same_for_any_sample(spark, monkeypatch, n, num, sample):
+    monkeypatch.setattr(op2_ngram_jaccard, "SAMPLE_DOCS", sample)
+    rows = passages(3)
+    assert len(linked(rows, n, num)) > 100
+    got = op2_ngram_jaccard.ngram_jaccard_groups(spark.createDataFrame(rows, DOC), n=n, num=num).collect()
+    assert {r.node: r.component for r in got} == components(rows, n, num)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Each text of an id finds its own partners, wherever its copies stand."""
+    rng, rows = random.Random(9), []
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    want = []
+    for k in range(12):
+        a, b = ([word() for _ in range(60)] for _ in range(2))
+        near = b[:59] + [word()]
+        rows += [(10 * k + 5, a), (10 * k + 5, b), (10 * k + 1, a), (10 * k + 7, near)]
+        want += [(10 * k + 1, 10 * k + 5), (10 * k + 5, 10 * k + 7)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], DOC)
+    up = closure(want, {i for i, _ in rows})
+    for parts in (1, 16):  # copies in one chunk, and each in its own
+        got = op2_ngram_jaccard.ngram_jaccard_groups(df.repartition(parts)).collect()
+        assert len(got) == len(rows) and {r.node: r.component for r in got} == up
+
+
+def test_embeddings_of_all_kinds(spark):
+    rng = np.random.default_rng(8)
+    some = lambda d: [float(x) for x in rng.normal(size=d)]
+    near = lambda v: [x + float(rng.normal() * 0.02) for x in v]
+    a, b, c = some(2), some(3), some(24)
+    rows = [(7, a), (7, c), (8, near(c)), (3, near(a)), (5, c), (5, c)]  # an id with two vectors, and a repeated row
+    rows += [(20 + i, some(2)) for i in range(40)] + [(70, b), (71, near(b)), (72, [-x for x in b])]  # few of another dimension
+    rows += [(80, [1e200, 1e200, -1e200]), (81, [2e200, 2e200, -2e200]), (82, [1e-200, 1e-200, -1e-200]), (83, [5e-324, 5e-324, -5e-324])]
+    rows += [(100 + i, near(c)) for i in range(150)] + [(300 + i, some(24)) for i in range(150)] + [(500 + i, c) for i in range(200)]  # many copies
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (16, 4096):
+        got = op5_embedding_dedup.near_embeddings(df, block=block).collect()
+        assert sorted((r.id, r.n_links, r.component) for r in got) == sorted(links_of(rows))
+    assert next(r for r in got if r.id == 80).n_links == 3
+
+
+def test_blocks_grow_with_the_table():
+    assert [op5_embedding_dedup.block_rows(n) for n in (10, 51_282, 10**6, 10**9)] == [4096, 4096, 15_625, 32_768]
+
+
+def test_block_partners_are_the_near_boxes():
+    rng = np.random.default_rng(2)
+    lo = np.sort(rng.normal(size=(90, 4)), 0)
+    hi = lo + rng.random((90, 4)) * 0.3
+    boxes = op5_embedding_dedup.Boxes(lo, hi)
+    for a in range(90):
+        want = [b for b in range(a, 90) if op5_embedding_dedup.box_gap((lo[a], hi[a]), (lo[b], hi[b])) <= 0.4]
+        assert op5_embedding_dedup.block_partners(boxes, a, 0.4) == want
