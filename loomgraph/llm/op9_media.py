@@ -1,13 +1,18 @@
 """Media columns: payloads stored in progressive JPEG files, and RGB tensors from them.
 
-A payload of 64 n bytes is n blocks of a grey picture: byte b is the quantized
-coefficient b + 256, the format's own unit, so nothing is lost. The file is read
-back by accumulating its scans; the payload is the coefficients, the features come
-from the inverse-transformed full-resolution RGB tensor.
+A payload of 64 n bytes is n blocks of a colour picture with chroma of half the
+resolution: of six blocks in a row four are luminance, then one of each chroma, as a
+macroblock has them; byte b is the quantized coefficient b + 256, the format's own
+unit, so nothing is lost. The file has a scan for the lowest coefficients of all
+components, scans for spectral bands of each, and one more of each for the lowest bit.
+It is read back by accumulating its scans into coefficient arrays; the payload is the
+coefficients, the features come from the full-resolution RGB tensor: inverse
+transform, chroma repeated to full resolution, colours converted.
 
 Null text is an empty payload, one block of zeros. Texts are whole, whatever their
-length (a wide picture where one column of blocks would be too high). Equal texts
-give equal files. Rows are independent; extra columns are ignored.
+length (a wide picture where one column of macroblocks would be too high). Equal texts
+give equal files. Rows are independent; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from pyspark.sql import functions as F
 
 from . import progressive_jpeg as jpeg
 
-OFFSET, HIGHEST = 256, 8191
+OFFSET, HIGHEST = 256, 4095
+#: Spectral bands of the luminance and of each chroma.
+BANDS, CHROMA = ((1, 5), (6, 63)), ((1, 63),)
 
 
 def padded(data: bytes) -> bytes:
@@ -34,32 +41,38 @@ def padded(data: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """The file of a payload whose length is a positive multiple of 64."""
     n = len(payload) // 64
-    across = -(-n // HIGHEST)
-    down = -(-n // across)
-    coefs = np.full((down * across, 64), OFFSET, np.int32)
+    units = -(-n // 6)
+    across = -(-units // HIGHEST)
+    down = -(-units // across)
+    coefs = np.full((down * across * 6, 64), OFFSET, np.int32)
     coefs[:n] += np.frombuffer(payload, np.uint8).reshape(n, 64)
-    image = jpeg.Image(across * 8, down * 8, [jpeg.Component(coefs.reshape(down, across, 64))], struct.pack(">Q", n))
-    return jpeg.encode(image)
+    coefs = coefs.reshape(down, across, 6, 64)
+    luma = coefs[:, :, :4].reshape(down, across, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(2 * down, 2 * across, 64)
+    parts = [jpeg.Component(luma, 2, 2), jpeg.Component(coefs[:, :, 4]), jpeg.Component(coefs[:, :, 5])]
+    return jpeg.encode(jpeg.Image(16 * across, 16 * down, parts, struct.pack(">Q", n)), BANDS, 1, CHROMA)
 
 
 def load(media: bytes) -> tuple[bytes, jpeg.Image]:
     """(payload, image) of a stored file."""
     image = jpeg.decode(media)
     n = struct.unpack(">Q", image.comment)[0]
-    return (image.parts[0].coefs.reshape(-1, 64)[:n] - OFFSET).astype(np.uint8).tobytes(), image
+    luma, cb, cr = (p.coefs for p in image.parts)
+    down, across = cb.shape[:2]
+    coefs = np.empty((down, across, 6, 64), np.int32)
+    coefs[:, :, :4] = luma.reshape(down, 2, across, 2, 64).transpose(0, 2, 1, 3, 4).reshape(down, across, 4, 64)
+    coefs[:, :, 4], coefs[:, :, 5] = cb, cr
+    return (coefs.reshape(-1, 64)[:n] - OFFSET).astype(np.uint8).tobytes(), image
 
 
-def features(image: jpeg.Image) -> str:
-    """Size and the channels' rounded means and deviations, from the RGB tensor."""
-    # a grey picture's channels are one plane: no need to hold it three times
-    planes = [jpeg.samples(image.parts[0])[: image.height, : image.width]] * 3 if len(image.parts) == 1 else list(np.moveaxis(jpeg.to_rgb(image), 2, 0))
-    out = [f"{image.width}x{image.height}"]
-    for p in planes[:1] if len(image.parts) == 1 else planes:
-        n, total = p.size, int(p.sum(dtype=np.int64))
-        counts = np.bincount(p.reshape(-1), minlength=256)
-        square = int((counts * np.arange(256, dtype=np.int64) ** 2).sum())
-        out.append(f"{total / n:.3f}±{max(0.0, square / n - (total / n) ** 2) ** 0.5:.3f}")
-    return " ".join(out if len(image.parts) > 1 else [out[0], *[out[1]] * 3])
+def features(rgb: np.ndarray) -> str:
+    """Size and the channels' rounded means and deviations of an RGB tensor."""
+    out, squares = [f"{rgb.shape[1]}x{rgb.shape[0]}"], np.arange(256, dtype=np.int64) ** 2
+    n = rgb.shape[0] * rgb.shape[1]
+    for k in range(3):
+        counts = np.bincount(rgb[..., k].reshape(-1), minlength=256)
+        mean = int(counts @ np.arange(256)) / n
+        out.append(f"{mean:.3f}±{max(0.0, int(counts @ squares) / n - mean**2) ** 0.5:.3f}")
+    return " ".join(out)
 
 
 _TENSOR = pa.schema([("id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("rgb", pa.binary())])
@@ -89,7 +102,7 @@ def read_back(stored: DataFrame) -> DataFrame:
             for media in batch.column(2):
                 m = media.as_py()
                 payload, image = load(m)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(image)))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(jpeg.to_rgb(image))))
             cols = list(zip(*rows)) or [()] * 6
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, types)]], names)

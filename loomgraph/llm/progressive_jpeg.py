@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -46,6 +47,9 @@ class Image:
     parts: list[Component]
     comment: bytes = b""
 
+    def __post_init__(self):
+        self.hmax, self.vmax = max(p.h for p in self.parts), max(p.v for p in self.parts)
+
 
 # --- bits -------------------------------------------------------------------
 
@@ -70,6 +74,8 @@ def _fixed(rows: np.ndarray, total: int) -> bytes:
 
 def _bits_of(values: np.ndarray, width: int) -> np.ndarray:
     """values x width matrix of bits, high bit first."""
+    if width == 8:
+        return np.unpackbits(values.astype(np.uint8)[..., None], axis=-1)
     return ((values[..., None] >> np.arange(width - 1, -1, -1)) & 1).astype(np.uint8)
 
 
@@ -86,7 +92,8 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _table(kind: int, slot: int, symbols: list[int]) -> tuple[bytes, dict[int, tuple[int, int]]]:
+@lru_cache(1024)
+def _table(kind: int, slot: int, symbols: tuple[int, ...]) -> tuple[bytes, dict[int, tuple[int, int]]]:
     """A table segment in which all codes have one length, and symbol -> (code, length)."""
     length = max(1, len(symbols).bit_length())  # leaves the code of ones unused
     counts = [0] * 16
@@ -103,8 +110,7 @@ def _scan_head(parts: list[int], ss: int, se: int, ah: int, al: int) -> bytes:
 
 def _mcu_order(image: Image) -> list[tuple[int, np.ndarray]]:
     """(component, its block coefficients in the order of an interleaved scan), one array per slot."""
-    hmax, vmax = max(p.h for p in image.parts), max(p.v for p in image.parts)
-    mx, my = -(-image.width // (8 * hmax)), -(-image.height // (8 * vmax))
+    mx, my = -(-image.width // (8 * image.hmax)), -(-image.height // (8 * image.vmax))
     out = []
     for i, p in enumerate(image.parts):
         for y in range(p.v):
@@ -118,8 +124,11 @@ def _blocks(p: Component, slot) -> np.ndarray:
     return p.coefs[y : my * p.v : p.v, x : mx * p.h : p.h]
 
 
-def encode(image: Image, bands=((1, 5), (6, 63)), low: int = 1) -> bytes:
-    """The file: DC, then each band, first without its ``low`` lowest bits, then bit by bit."""
+def encode(image: Image, bands=((1, 5), (6, 63)), low: int = 1, chroma=None) -> bytes:
+    """The file: DC, then each band, first without its ``low`` lowest bits, then bit by bit.
+
+    ``chroma``: bands of the components after the first, where they are others.
+    """
     out = [b"\xff\xd8"]
     if image.comment:
         out.append(_segment(0xFE, image.comment))
@@ -127,23 +136,19 @@ def encode(image: Image, bands=((1, 5), (6, 63)), low: int = 1) -> bytes:
         out.append(_segment(0xDB, bytes([0x10 | i]) + p.quant.astype(">u2").tobytes()))
     out.append(_segment(0xC2, struct.pack(">BHHB", 8, image.height, image.width, len(image.parts)) + b"".join(bytes([i + 1, p.h << 4 | p.v, i]) for i, p in enumerate(image.parts))))
     every = list(range(len(image.parts)))
+    scans = [(i, _own_blocks(image, i), ss, se) for i in every for ss, se in (bands if not i or chroma is None else chroma)]
     out.append(_dc_first(image, every, low))
-    for i in every:
-        for ss, se in bands:
-            out.append(_ac_first(_own_blocks(image, i), i, ss, se, low))
+    out += [_ac_first(blocks, i, ss, se, low) for i, blocks, ss, se in scans]
     for bit in range(low - 1, -1, -1):
         out.append(_dc_refine(image, every, bit))
-        for i in every:
-            for ss, se in bands:
-                out.append(_ac_refine(_own_blocks(image, i), i, ss, se, bit))
+        out += [_ac_refine(blocks, i, ss, se, bit) for i, blocks, ss, se in scans]
     return b"".join([*out, b"\xff\xd9"])
 
 
 def _own_blocks(image: Image, i: int) -> np.ndarray:
     """The component's blocks in a scan of its own: only those that the picture needs."""
     p = image.parts[i]
-    hmax, vmax = max(q.h for q in image.parts), max(q.v for q in image.parts)
-    bw, bh = -(-(-(-image.width * p.h // hmax)) // 8), -(-(-(-image.height * p.v // vmax)) // 8)
+    bw, bh = -(-(-(-image.width * p.h // image.hmax)) // 8), -(-(-(-image.height * p.v // image.vmax)) // 8)
     return p.coefs[:bh, :bw]
 
 
@@ -165,7 +170,7 @@ def _dc_first(image: Image, every: list[int], al: int) -> bytes:
         diff[:, owner == i] = np.diff(own, prepend=0).reshape(-1, int((owner == i).sum()))
     diff = diff.reshape(-1)
     size = _category(diff)
-    table, codes = _table(0, 0, list(range(12)))
+    table, codes = _table(0, 0, tuple(range(12)))
     length = codes[0][1]
     return table + _scan_head(every, 0, 0, 0, al) + _pack(size << size | _extra(diff, size), length + size)
 
@@ -186,7 +191,7 @@ def _ac_first(blocks: np.ndarray, part: int, ss: int, se: int, al: int) -> bytes
     head = _scan_head([part], ss, se, 0, al)
     if v.size and (v > 0).all() and (size == size.flat[0]).all():
         s = int(size.flat[0])
-        table, _ = _table(1, 0, [s])
+        table, _ = _table(1, 0, (s,))
         rows = np.zeros((v.size, s + 1), np.uint8)
         rows[:, 1:] = _bits_of(v.reshape(-1), s)
         return table + head + _fixed(rows, rows.size)
@@ -208,7 +213,7 @@ def _ac_first(blocks: np.ndarray, part: int, ss: int, se: int, al: int) -> bytes
 
 
 def _coded(tokens, head: bytes) -> bytes:
-    table, codes = _table(1, 0, sorted({t[0] for t in tokens}) or [0])
+    table, codes = _table(1, 0, tuple(sorted({t[0] for t in tokens}) or (0,)))
     if not tokens:
         return table + head
     value = np.array([codes[s][0] << n | e for s, e, n in tokens], np.int64)
@@ -221,7 +226,7 @@ def _ac_refine(blocks: np.ndarray, part: int, ss: int, se: int, al: int) -> byte
     head = _scan_head([part], ss, se, al + 1, al)
     if v.size and (magnitude >> (al + 1)).all():
         # nothing can become nonzero: runs of finished blocks, a correction bit each
-        table, codes = _table(1, 0, [n << 4 for n in range(15)])
+        table, codes = _table(1, 0, tuple(n << 4 for n in range(15)))
         rows, parts, at = ((magnitude >> al) & 1).astype(np.uint8), [], 0
         while at < len(rows):
             n = min(len(rows) - at, 32767)
@@ -251,11 +256,10 @@ def _ac_refine(blocks: np.ndarray, part: int, ss: int, se: int, al: int) -> byte
             run, held = 0, []
         if run or held:
             tokens += [(0, 0, 0), *[(-1, b, 1) for b in held]]
-    symbols = sorted({t[0] for t in tokens} - {-1}) or [0]
-    table, codes = _table(1, 0, symbols)
+    table, codes = _table(1, 0, tuple(sorted({t[0] for t in tokens} - {-1}) or (0,)))
     if not tokens:
         return table + head
-    codes[-1] = (0, 0)
+    codes = codes | {-1: (0, 0)}
     value = np.array([codes[s][0] << n | e for s, e, n in tokens], np.int64)
     return table + head + _pack(value, np.array([codes[s][1] + n for s, _, n in tokens], np.int64))
 
@@ -263,8 +267,11 @@ def _ac_refine(blocks: np.ndarray, part: int, ss: int, se: int, al: int) -> byte
 # --- decoder ----------------------------------------------------------------
 
 
+@lru_cache(1024)
 class _Huffman:
-    def __init__(self, counts, symbols):
+    """Codes of a table segment's counts and symbols; never changed, so kept by them."""
+
+    def __init__(self, counts: bytes, symbols: bytes):
         self.codes: dict[tuple[int, int], int] = {}
         code = at = 0
         for length, n in enumerate(counts, 1):
@@ -398,11 +405,11 @@ def _scan(image: Image, chosen, tables, ss, se, ah, al, bits: _Bits) -> None:
         return
     use = [tables[0, s >> 4] for s in slots]
     diff = np.empty((n, len(views)), np.int64)
-    if len(views) == 1 and use[0].length:
+    if use[0].length and all(t is use[0] for t in use):
         # one table with codes of one length, read along the bit string
         text, at, flat, length = bits.text, 0, use[0].flat, use[0].length
         out = []
-        for _ in range(n):
+        for _ in range(n * len(views)):
             to = at + length
             size = flat[text[at:to]]
             at = to + size
@@ -411,7 +418,7 @@ def _scan(image: Image, chosen, tables, ss, se, ah, al, bits: _Bits) -> None:
                 out.append(x if text[to] == "1" else x - (1 << size) + 1)
             else:
                 out.append(0)
-        diff[:, 0] = out
+        diff[...] = np.array(out, np.int64).reshape(n, -1)
     else:
         for row in range(n):
             for k, table in enumerate(use):
@@ -519,8 +526,7 @@ def samples(p: Component) -> np.ndarray:
 
 def to_rgb(image: Image) -> np.ndarray:
     """height x width x 3 samples; subsampled components repeat."""
-    hmax, vmax = max(p.h for p in image.parts), max(p.v for p in image.parts)
-    planes = [np.repeat(np.repeat(samples(p), vmax // p.v, 0), hmax // p.h, 1)[: image.height, : image.width] for p in image.parts]
+    planes = [np.repeat(np.repeat(samples(p), image.vmax // p.v, 0), image.hmax // p.h, 1)[: image.height, : image.width] for p in image.parts]
     if len(planes) == 1:
         return np.repeat(planes[0][..., None], 3, 2)
     y, cb, cr = (x.astype(np.float32) for x in planes)

@@ -5,6 +5,7 @@ import re
 import struct
 import zlib
 
+import plain_jpeg
 import public_tokenizers as P
 import pytest
 
@@ -136,6 +137,42 @@ def test_media_query(spark, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
 
 
+def test_media_features(spark, texts):
+    """File digests, payloads and features of stored texts by the plain reader."""
+    chosen = {i: t for i, t in texts.items() if len(t) < 900}
+    chosen = dict(sorted(chosen.items())[:12]) | {-1: "", -2: "é" * 200, -3: "\x00\x7f" * 97, -4: "x" * 384}
+    docs = spark.createDataFrame(list(chosen.items()), "doc_id long, text string")
+    stored = op9_media.store_texts(docs)
+    media = {r.id: bytes(r.media) for r in stored.collect()}
+    tensors = {r.id: (r.width, r.height, bytes(r.rgb)) for r in op9_media.rgb_tensors(stored).collect()}
+    for r in op9_media.read_back(stored).collect():
+        width, height, comment, parts = plain_jpeg.read(media[r.id])
+        assert [(h, v) for h, v, _, _ in parts] == [(2, 2), (1, 1), (1, 1)]
+        units = [[parts[0][2][2 * y][2 * x], parts[0][2][2 * y][2 * x + 1], parts[0][2][2 * y + 1][2 * x], parts[0][2][2 * y + 1][2 * x + 1], parts[1][2][y][x], parts[2][2][y][x]] for y in range(height // 16) for x in range(width // 16)]
+        payload = bytes(c - 256 for unit in units for block in unit for c in block)[: 64 * struct.unpack(">Q", comment)[0]]
+        raw = chosen[r.id].encode()
+        assert payload == raw + bytes(len(payload) - len(raw)) and len(payload) == r.payload_bytes
+        assert (r.payload_sha256, r.media_sha256, r.media_bytes) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media[r.id]).hexdigest(), len(media[r.id]))
+        rgb = plain_jpeg.pixels(width, height, parts)
+        size, *stats = r.feature.split()
+        assert size == f"{width}x{height}" and tensors[r.id][:2] == (width, height)
+        # halves may round to either side
+        flat = [c for row in rgb for p in row for c in p]
+        assert max(abs(a - b) for a, b in zip(flat, tensors[r.id][2])) <= 2 and len(flat) == len(tensors[r.id][2])
+        for k, s in enumerate(stats):
+            own = flat[k::3]
+            mean = sum(own) / len(own)
+            deviation = (sum(x * x for x in own) / len(own) - mean**2) ** 0.5
+            assert tuple(map(float, s.split("±"))) == pytest.approx((mean, deviation), abs=0.05)
+
+
+def test_media_of_long_texts():
+    """A text of more macroblocks than one column holds."""
+    payload = bytes(i * 7 % 251 for i in range(64 * 6 * 4095 + 64))
+    back, image = op9_media.load(op9_media.store(payload))
+    assert back == payload and image.width == 32
+
+
 def test_bpe_query(spark, texts):
     import tiktoken
 
