@@ -192,6 +192,14 @@ def test_license_query(spark, texts):
         assert r.labels == ",".join(sorted({f[0] for f in found})) and r.score == pytest.approx(max((f[3] for f in found), default=0.0))
 
 
+def test_letters_with_an_ascii_lower_case(spark):
+    texts = ["under the MIT licen\u017fe", "CC BY NC", "\u212aC BY NC cc by nc", "under the m\u0130t license", "\u0130 CC BY NC \u00c9 \u03a3", "m\u0131t under the MIT license"]
+    words = [("cc by nc", "x"), ("k", "y"), ("i", "z"), ("under the mit license", "m")]
+    for r in op10_license.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=words, templates=()).collect():
+        want = op10_license.brute_force(texts[r.id], phrases=words, templates=())
+        assert r.n_words == want["n_words"] and sorted((f.label, f.base, f.start) for f in r.found) == [f[:3] for f in want["found"]]
+
+
 @pytest.mark.parametrize("phrase", ["a a", "b", "a b a b", "x y x"])
 def test_phrases_of_few_words(spark, phrase):
     rows = [(1, "a a a b a b a b x y x y x a a"), (2, "b"), (3, None)]
