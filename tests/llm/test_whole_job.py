@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import math
 import random
 
 import numpy as np
@@ -74,6 +75,128 @@ def test_unquoted_values_are_candidates(spark):
         assert "[secret]" in r.text and key not in r.text
 
 
+UP, LOW, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {"hex": DIGITS + "abcdef", "base32": UP + "234567", "alphanumeric": UP + LOW + DIGITS, "base64": UP + LOW + DIGITS + "+/"}
+
+
+def battery(s, name):
+    """The combined chance of a string, after the tests' definitions."""
+    s = s.rstrip("=").replace("-", "+").replace("_", "/")
+    s = s.lower() if name == "hex" else s
+    alphabet = ALPHABETS[name]
+    kind = {"hex": lambda c: c, "base32": lambda c: "digit" if c in "234567" else c.lower() in "etaoinshrl"}.get(name, lambda c: "up" if c in UP else c in "etaoinshrl" if c in LOW else "rest")
+    n = len(s)
+    kinds = sorted({str(kind(c)) for c in alphabet})
+    expected = [n * sum(str(kind(c)) == k for c in alphabet) / len(alphabet) for k in kinds]
+    chi = sum((sum(str(kind(c)) == k for c in s) - e) ** 2 / e for k, e in zip(kinds, expected))
+    # the upper tail by Simpson's rule on the density of the square root
+    df = len(kinds) - 1
+    grid = np.linspace(math.sqrt(chi), max(math.sqrt(chi) + 1, 40), 200_001)
+    density = 2 * grid ** (df - 1) * np.exp(-grid**2 / 2) / (2 ** (df / 2) * math.gamma(df / 2))
+    uniform = float((grid[1] - grid[0]) / 3 * (density[0] + density[-1] + 4 * density[1:-1:2].sum() + 2 * density[2:-1:2].sum()))
+    v = np.array([alphabet.index(c) for c in s], float)
+    two = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    high = v >= len(alphabet) / 2
+    a, b = int(high.sum()), int((~high).sum())
+    runs = 1 + int((high[1:] != high[:-1]).sum())
+    mean = 2 * a * b / n + 1
+    var = (2 * a * b * (2 * a * b - n)) / (n * n * (n - 1))
+    ordered = two((runs - mean) / math.sqrt(var)) if var > 0 else 0.0
+    d = v - v.mean()
+    serial = two(float(d[1:] @ d[:-1] / (d @ d)) * math.sqrt(n)) if d.any() else 0.0
+    x = -sum(math.log(max(p, 1e-12)) for p in (uniform, ordered, serial))
+    return math.exp(-x) * (1 + x + x * x / 2)
+
+
+def encoding_of(s):
+    s = s.rstrip("=")
+    if not any(c in DIGITS for c in s) or not any(c in UP + LOW for c in s):
+        return None
+    if len(s) % 2 == 0 and (all(c in DIGITS + "abcdef" for c in s) or all(c in DIGITS + "ABCDEF" for c in s)):
+        return "hex"
+    if all(c in UP + "234567" for c in s):
+        return "base32"
+    if all(c in UP + LOW + DIGITS for c in s):
+        return "alphanumeric"
+    return None if any(c in "+/" for c in s) and any(c in "-_" for c in s) else "base64"
+
+
+def plain_candidates(text, known):
+    """(start, end, encoding) of runs outside the known spans, character by character."""
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and (text[j] in UP + LOW + DIGITS + "+/_=-"):
+            j += 1
+        at = i
+        while at < j:
+            if text[at] == "=":
+                at += 1
+                continue
+            end = at
+            while end < j and text[end] != "=":
+                end += 1
+            close = j if set(text[end:j]) <= {"="} else end
+            free = all(e <= at or s >= close for s, _, e in known)
+            if close - at >= 20 and free and (e := encoding_of(text[at:close])):
+                out.append((at, close, e))
+            at = close if close > end else end
+        i = max(j, i + 1)
+    return out
+
+
+def identifier(rng, n):
+    names = "get set user name config value index file path main service handler request response data model build test module core common util parse render client server update create delete session".split()
+    parts = []
+    while sum(map(len, parts)) + len(parts) < n:
+        parts.append(rng.choice(names))
+    style = rng.randrange(5)
+    text = parts[0] + "".join(p.title() for p in parts[1:]) if style == 0 else "_-/+"[style - 1].join(parts)
+    return (text.upper() if rng.random() < 0.2 else text) + str(rng.randrange(10))
+
+
+def test_battery_and_its_errors_by_length():
+    rng = random.Random(4)
+    for n in (20, 24, 32, 48, 64, 96, 128, 256):
+        kept = {}
+        for name, alphabet in ALPHABETS.items():
+            for _ in range(300):
+                key = "".join(rng.choices(alphabet.upper() if name == "hex" else alphabet, k=n))
+                if (e := op6_secrets.infer_encoding(key)) is not None:
+                    kept.setdefault(op6_secrets.ENCODINGS[e][0], []).append(op6_secrets.randomness(key, e))
+                    assert op6_secrets.ENCODINGS[e][0] == encoding_of(key)
+        named = [identifier(rng, n) for _ in range(400)]
+        chances = [op6_secrets.randomness(s, e) for s in named if (e := op6_secrets.infer_encoding(s)) is not None]
+        assert len(chances) > 300
+        # random keys that a cut at RATE keeps, and written names that it reports
+        assert all(sum(p > op6_secrets.RATE for p in ps) / len(ps) >= 0.94 for ps in kept.values()), n
+        assert sum(p > op6_secrets.RATE for p in chances) / len(chances) <= (0.05 if n < 32 else 0.01), n
+
+
+def test_random_spans_by_a_battery_of_its_own(spark):
+    """Candidates, chances and false-discovery cuts in plain Python, on planted keys and names."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(240):
+        name, n = rng.choice(list(ALPHABETS)), rng.choice((20, 26, 40, 70, 150))
+        key = "".join(rng.choices(ALPHABETS[name], k=n)) + rng.choice(["", "="])
+        texts.append(f"some text {rng.choice(['', 'SIGN=', 'x?a='])}{key} {identifier(rng, 30)} password={key[:9]} {'ab12' * 3}{rng.choice([' ', '&', '='])}{identifier(rng, 22)} end")
+    got = {r.id: ([tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in op6_secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    found, strata = {}, {}
+    for i, text in enumerate(texts):
+        for lo, hi, name in plain_candidates(text, got[i][0]):
+            p = (math.floor(min(battery(text[lo:hi], name), 0.9995) * 1000) + 1) / 1000
+            found.setdefault(i, []).append((lo, hi, name, p))
+            strata.setdefault((name, sum(hi - lo >= x for x in (32, 64, 128))), []).append(p)
+    cut = {k: max([p for j, p in enumerate(sorted(ps), 1) if p <= op6_secrets.RATE * j / len(ps)], default=0) for k, ps in strata.items()}
+    planted = 0
+    for i in range(len(texts)):
+        want = [(lo, 3, hi) for lo, hi, name, p in found.get(i, []) if p > cut[name, sum(hi - lo >= x for x in (32, 64, 128))]]
+        assert got[i][1] == sorted(got[i][0] + want)
+        planted += len(want)
+    assert 150 < planted < 300
+
+
 def edited(words):
     """The words with every one and every two of them replaced."""
     return [[w if k not in (i, j) else "other" for k, w in enumerate(words)] for i in range(len(words)) for j in range(i, len(words))]
