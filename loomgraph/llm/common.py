@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: A node of more edges than this is a hub, whose edges are not sent to one task.
+HUB = 1_000_000
 #: A side with at most this many rows of two longs (about 5 MB) may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -38,17 +40,23 @@ def fresh_worker() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private temporary one only where none is set."""
+    """The folder all executors share; a private temporary one only in local mode, where none need be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="loomgraph-"))
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back (cuts lineage)."""
+def materialize(df: DataFrame, name: str, watch: Observation | None = None, *what) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back (cuts lineage).
+
+    ``watch`` gets the aggregates ``what`` of the rows on the way.
+    """
     spark = df.sparkSession
+    df = df if watch is None else df.observe(watch, *what)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -84,14 +92,15 @@ def smallest(df: DataFrame, by, k: int, rows: int, cols: list[str]) -> DataFrame
     return own.orderBy("__hash", *cols).limit(k).drop("__hash")
 
 
-def join_by_hot_key(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+def join_by_hot_key(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int = 0, share: int = 1000, limit: int | None = None) -> DataFrame:
     """Left join on a key that few values may dominate.
 
     ``right`` has one row per key and ``weight``, the number of left rows with it.
     Keys with more than total/share left rows number fewer than ``share``, so they
-    are broadcast; every other key is small enough for a shuffled join.
+    are broadcast; every other key is small enough for a shuffled join. A caller that
+    has counted the keys may give the limit itself.
     """
-    limit = total // share
+    limit = total // share if limit is None else limit
     hot = right.filter(F.col(weight) > limit).withColumn("__hot", F.lit(True))
     first = left.join(F.broadcast(hot), key, "left")
     held = first.filter(F.col("__hot")).drop("__hot")
@@ -102,10 +111,11 @@ def join_by_hot_key(left: DataFrame, right: DataFrame, key: str | list[str], wei
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Rows (node, component): the smallest node reachable over undirected edges.
 
-    Alternating large-star and small-star steps; the edges stay distributed, each
-    step's edges and minima are tables in the shared folder, and a hub's rows can
-    be split by a skewed join because both sides of it are plain exchanges.
-    Nulls and self loops are dropped; nodes without an edge have no row.
+    Alternating large-star and small-star steps; the edges stay distributed, and each
+    step's edges and minima are tables in the shared folder. A hub's minimum is
+    broadcast (there are at most edges / HUB of them, and their number is checked), so
+    its edges stay where they are. Nulls and self loops are dropped; nodes without an
+    edge have no row.
     """
     cur = materialize(
         edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
@@ -113,8 +123,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         for large in (True, False):
             both = cur.union(cur.select("v", "u")) if large else cur
-            low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-min")
-            near = both.join(low, "u")
+            low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+            seen = Observation()
+            low = materialize(low, "cc-min", seen, F.count(F.when(F.col("n") > HUB, 1)).alias("hubs"))
+            hubs = seen.get["hubs"] or 0
+            if 0 < hubs <= BROADCAST_ROWS:
+                near = join_by_hot_key(both, low, "u", "n", limit=HUB)
+            else:
+                near = both.join(low, "u")
             if large:
                 step = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:

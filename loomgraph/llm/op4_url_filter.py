@@ -2,8 +2,11 @@
 
 The urls that a rule judges are the labelled ones. Trees of depth DEPTH on
 lexical features (lengths, depth, digit ratio, entropy, parameters, statistics of
-host suffixes) are fitted to a sample of at most TRAIN_ROWS of them, half of each
-verdict, those of the smallest hashes; every url without a rule is then scored.
+host suffixes and of the first folder) are fitted to a sample of at most TRAIN_ROWS of them, half of each
+verdict, those of the smallest hashes; every url without a rule is then scored. In
+training a row has the suffix statistics of the other FOLDS - 1 folds, without its own
+label. Urls are whole,
+whatever their length.
 
 Null url or no ``://``: host and path are empty, the features are those of empty
 strings and the trees judge it. With labels of one verdict only, that verdict is
@@ -22,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, smallest
 
 #: verdict, host, path prefix
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-TRAIN_ROWS, ROUNDS, DEPTH, BINS, RATE, LEAST = 20_000, 30, 3, 32, 0.2, 20
+TRAIN_ROWS, ROUNDS, DEPTH, BINS, RATE, LEAST, FOLDS = 20_000, 30, 3, 32, 0.2, 20, 5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -48,7 +51,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 # --- features ---------------------------------------------------------------
 
-FEATURES = ("url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "fragment", "longest_label", "extension", "tld_rate", "tld_rows", "domain_rate", "domain_rows")
+FEATURES = ("url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "fragment", "longest_label", "extension", "tld_rate", "tld_rows", "domain_rate", "domain_rows", "folder_rate", "folder_rows")
 
 
 def entropy(s: str) -> float:
@@ -56,30 +59,37 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def suffixes(host: str) -> tuple[str, str]:
+def suffixes(host: str, path: str) -> tuple[str, str, str]:
+    """What statistics are kept of: the last label, the last two, the first folder."""
     labels = host.split(".")
-    return labels[-1], ".".join(labels[-2:])
+    return labels[-1], ".".join(labels[-2:]), "/" + path[1:].partition("/")[0]
 
 
 def lexical(url: str | None, host: str, path: str, stats: dict[str, tuple[float, float]]) -> list[float]:
     url = url or ""
     query = url.partition("#")[0].partition("?")[2]
     digits = sum(c.isdigit() for c in url)
-    tld, domain = suffixes(host)
     return [
         len(url), len(host), len(path), host.count(".") + 1 if host else 0, sum(1 for x in path.split("/") if x), digits / max(1, len(url)),
         sum(c.isdigit() for c in host), host.count("-"), entropy(url), entropy(host), sum(1 for x in query.split("&") if x), len(query), float("#" in url),
-        max(map(len, host.split("."))), float("." in path.rpartition("/")[2]), *stats.get(tld, (0.5, 0.0)), *stats.get(domain, (0.5, 0.0))]
+        max(map(len, host.split("."))), float("." in path.rpartition("/")[2]), *[x for s in suffixes(host, path) for x in stats.get(s, (0.5, 0.0))]]
 
 
-def suffix_statistics(hosts: list[str], y: np.ndarray) -> dict[str, tuple[float, float]]:
-    """Smoothed share of block and log count of each top and second-level suffix."""
+def suffix_counts(urls: list[tuple[str, str]], y: np.ndarray) -> dict[str, tuple[int, int]]:
+    """(rows, blocked rows) of each suffix and first folder of (host, path)."""
     seen, bad = Counter(), Counter()
-    for host, label in zip(hosts, y):
-        for s in set(suffixes(host)):
+    for url, label in zip(urls, y):
+        for s in set(suffixes(*url)):
             seen[s] += 1
             bad[s] += int(label)
-    return {s: ((bad[s] + 1) / (n + 2), math.log1p(n)) for s, n in seen.items()}
+    return {s: (n, bad[s]) for s, n in seen.items()}
+
+
+def suffix_statistics(counts: dict[str, tuple[int, int]], but: dict[str, tuple[int, int]] | None = None) -> dict[str, tuple[float, float]]:
+    """Smoothed share of block and log count of each suffix, without the counts ``but``."""
+    less = but or {}
+    rest = {s: (n - less.get(s, (0, 0))[0], bad - less.get(s, (0, 0))[1]) for s, (n, bad) in counts.items()}
+    return {s: ((bad + 1) / (n + 2), math.log1p(n)) for s, (n, bad) in rest.items() if n}
 
 
 # --- trees ------------------------------------------------------------------
@@ -145,15 +155,20 @@ def tree_scores(x: np.ndarray, model) -> np.ndarray:
 
 def fit_urls(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
     """(suffix statistics, model) or a verdict, from rows (url, host, path, verdict)."""
-    rows = []
+    rows, count = [], {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}
     for v in ("allow", "block"):
-        rows += labelled.filter(F.col("verdict") == v).orderBy(F.xxhash64("url"), "url").limit(train_rows // 2).collect()
+        one = labelled.filter(F.col("verdict") == v)
+        rows += smallest(one, F.xxhash64("url"), train_rows // 2, count.get(v, 0), ["url", "host", "path", "verdict"]).collect()
     y = np.array([r["verdict"] == "block" for r in rows], float)
     if not len(y) or y.all() or not y.any():
         return "block" if len(y) and y.all() else "allow"
-    stats = suffix_statistics([r["host"] for r in rows], y)
-    x = np.array([lexical(r["url"], r["host"], r["path"], stats) for r in rows])
-    return stats, fit_trees(x, y)
+    urls = [(r["host"], r["path"]) for r in rows]
+    counts = suffix_counts(urls, y)
+    # a row's statistics in training are those of the other folds, so its label doesn't show in them
+    fold = np.arange(len(rows)) % FOLDS
+    other = [suffix_statistics(counts, suffix_counts([urls[i] for i in np.flatnonzero(fold == k)], y[fold == k])) for k in range(FOLDS)]
+    x = np.array([lexical(r["url"], r["host"], r["path"], other[k]) for r, k in zip(rows, fold)])
+    return suffix_statistics(counts), fit_trees(x, y)
 
 
 def _score(model):

@@ -4,12 +4,14 @@ Each document gets the exponential key -ln(u) / w, with u from a hash of its id
 and w its quality weight; the smallest keys are the sample. A source's target
 first takes complete epochs of the source, then the documents of the smallest
 keys up to the rest. The prefix sums run in two levels: sums for narrow ranges of
-keys (about BUCKET_ROWS documents each, so a hot source has more ranges, not
-larger ones), and rows only in the one range that the rest ends in. The outcome
+keys (about BUCKET_ROWS documents each, so a hot source has more ranges, and larger
+ones only beyond MOST_RANGES of them), and rows only in the one range that the rest ends in. The outcome
 is one row for each source, the last key that is taken; a document compares its
 own key with it.
 
-Null text: size 0. Null source: a source of its own, last in order. Rows that
+Targets are a window over one row for each source. Null text: size 0. Texts are whole,
+whatever their length. Null source: a source of its own, last in order. An empty table
+gives no rows. Rows that
 repeat an id and text share what is left when the budget ends at them. Extra
 columns are kept by ``mix_copies`` and ignored by ``mix_sources``.
 """
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialize, sized_join
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-BUCKET_ROWS = 2000
+#: Documents of a key range, and ranges of a source: both windows stay small.
+BUCKET_ROWS, MOST_RANGES = 2000, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -75,7 +78,7 @@ def mixing_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     src = src.withColumn("epochs", whole).withColumn("rest", F.floor(F.col("target") + 0.5).cast("long") - F.col("epochs") * F.col("source_size"))
     src = materialize(src, "mix-src")
     n = src.count()
-    scale = F.greatest(F.lit(1.0), F.col("n_rows") / float(BUCKET_ROWS))
+    scale = F.greatest(F.lit(1.0), F.least(F.col("n_rows") / float(BUCKET_ROWS), F.lit(float(MOST_RANGES))))
     bucket = F.least(F.col("ord.key") * scale, F.lit(1e15)).cast("long")
     same = lambda l, r: l["source"].eqNullSafe(r["source"])
     s2 = src.select(F.col("source").alias("s"), "n_rows")

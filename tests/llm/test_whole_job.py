@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from test_llm import closure, links_of
 
-from loomgraph.llm import op10_license, op2_ngram_jaccard, op5_embedding_dedup, op6_secrets
+from loomgraph.llm import common, op10_license, op2_ngram_jaccard, op3_quality, op4_url_filter, op5_embedding_dedup, op6_secrets
 
 DOC = "doc_id long, text string"
+SF = "/root/testdata/sf0.001"
 
 
 def shingles(text, n=3):
@@ -285,3 +286,142 @@ def test_block_partners_are_the_near_boxes():
     for a in range(90):
         want = [b for b in range(a, 90) if op5_embedding_dedup.box_gap((lo[a], hi[a]), (lo[b], hi[b])) <= 0.4]
         assert op5_embedding_dedup.block_partners(boxes, a, 0.4) == want
+
+
+# --- op3 and op4 against plain Python -----------------------------------------
+
+
+def plain_features(text):
+    """The features of a text, by counting its bytes one by one."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return [0.0] * 18
+    n, k = len(raw), len(words)
+    share = lambda chars: sum(raw.count(bytes([c])) for c in set(chars)) / n
+    upper, digits, marks, calls, bars, signs = (share(x) for x in (UP.encode(), DIGITS.encode(), b".,;:'\"?-()", b"!", b"|", b"#$%&*@^~_+=<>/\\{}[]`"))
+    letters = 1 - upper - digits - marks - calls - bars - signs - share(b" \t\n\r\x0b\x0c")
+    again = sum(a == b for a, b in zip(words, words[1:])) / k
+    distinct, lines = len(set(words)) / k, raw.split(b"\n")
+    ends = sum(raw[i : i + 2] in (b". ", b".\n") for i in range(n)) + raw.endswith(b".")
+    log = lambda x: math.log(1 + 200 * x)
+    return [log(upper), log(digits), log(marks), log(calls), log(bars), log(signs), letters, math.log(k), distinct, distinct * math.log(k), log(again), n / k / 10,
+            1 - len(set(lines)) / len(lines), log(ends / k), upper > 0.3, signs > 0.05, bars > 0.01, again > 0.1]
+
+
+def test_quality_against_plain_python(spark):
+    """Features, pairs' loss, threshold and scores of all documents."""
+    import zlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality in (0, 1)}
+    told = [(plain_features(docs[i]), y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5 and i in docs]
+    x, y = np.array([f for f, _ in told], float), np.array([y for _, y in told])
+    w, threshold = op3_quality.fit_quality(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
+    assert threshold == pytest.approx(np.quantile(x @ w, (y == 0).mean()), abs=1e-6)
+    order = sorted(range(len(told)), key=lambda k: [*told[k][0], told[k][1]])
+    g, b = op3_quality.preference_pairs(y[order])
+    assert set(g) == set(np.flatnonzero(y[order] == 1)) and set(b) == set(np.flatnonzero(y[order] == 0))
+    scale = np.where(x.std(0) == 0, 1, x.std(0))
+    d = ((x[order][g] - x[order][b]) / scale).tolist()
+    v = (w * scale).tolist()
+    slope = [op3_quality.RIDGE * a for a in v]
+    for row in d:  # the slope of the logistic loss on feature differences, pair by pair
+        p = 1 / (1 + math.exp(sum(a * c for a, c in zip(row, v))))
+        slope = [s - a * p / len(d) for s, a in zip(slope, row)]
+    assert max(map(abs, slope)) < 1e-6
+    for r in op3_quality.query(spark, SF).collect():
+        raw = sum(a * c for a, c in zip(plain_features(docs[r.doc_id]), w))
+        want = 1 / (1 + math.exp(-(raw - threshold + math.log(0.3 / 0.7))))
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == (r.score >= 0.3)
+
+
+def test_quality_of_repeated_documents(spark):
+    """A repeated id teaches once for each label, whatever the order of its rows."""
+    rows = [(1, "good words here"), (1, "ZZ!!"), (2, "BAD!!! ||| ##"), (3, "other fine words")] + [(3, "other fine words")] * 50
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1)], "doc_id long, quality int")
+    a = op3_quality.fit_quality(spark.createDataFrame(rows, DOC), labels)
+    b = op3_quality.fit_quality(spark.createDataFrame(rows[::-1], DOC).distinct(), labels)
+    assert (a[0] == b[0]).all() and a[1] == b[1]
+
+
+def plain_url(url, host, path, rates):
+    url = url or ""
+    query = url.split("#")[0].split("?", 1)[1] if "?" in url.split("#")[0] else ""
+    spread = lambda s: sum(-s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s)) if s else 0.0
+    labels = host.split(".")
+    out = [len(url), len(host), len(path), len(labels) if host else 0, len([p for p in path.split("/") if p]), sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host), host.count("-"), spread(url), spread(host),
+           len([p for p in query.split("&") if p]), len(query), "#" in url, max(len(x) for x in labels), "." in path.split("/")[-1]]
+    for s in (labels[-1], ".".join(labels[-2:]), "/" + (path[1:].split("/")[0] if path else "")):
+        out += rates(s)
+    return out
+
+
+def test_url_trees_against_plain_python(spark):
+    """Statistics, features, the walk down each tree and the verdicts of all pages."""
+    rows = op4_url_filter.query(spark, SF).collect()
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    taught = [r for r in rows if r.rule is not None]
+    train = spark.createDataFrame([(urls[r.page_id], r.host, r.path, r.verdict) for r in taught], "url string, host string, path string, verdict string")
+    _, (prior, trees) = op4_url_filter.fit_urls(train)
+
+    def rates(s):
+        own = [r.verdict == "block" for r in taught if s in (r.host.split(".")[-1], ".".join(r.host.split(".")[-2:]), "/" + (r.path[1:].split("/")[0] if r.path else ""))]
+        return ((sum(own) + 1) / (len(own) + 2), math.log(1 + len(own))) if own else (0.5, 0.0)
+
+    seen = set()
+    for r in rows:
+        x, total = plain_url(urls[r.page_id], r.host, r.path, rates), prior
+        for tree in trees:
+            feature, value, left, right = tree[0]
+            while feature >= 0:
+                feature, value, left, right = tree[left if x[feature] <= value else right]
+            total += value
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+        if r.rule is None:
+            assert r.verdict == ("block" if r.score >= 0.5 else "allow")
+            seen.add(r.verdict)
+    assert seen
+
+
+def test_url_statistics_of_other_folds():
+    counts = op4_url_filter.suffix_counts([("a.x", "/p/1"), ("b.x", "/q"), ("b.x", "/q/2")], np.array([1.0, 0.0, 1.0]))
+    assert counts["x"] == (3, 2) and counts["b.x"] == (2, 1) and counts["/q"] == (2, 1)
+    assert op4_url_filter.suffix_statistics(counts)["x"] == pytest.approx((3 / 5, math.log(4)))
+    rest = op4_url_filter.suffix_statistics(counts, op4_url_filter.suffix_counts([("a.x", "/p/1")], np.array([1.0])))
+    assert rest["x"] == pytest.approx((1 / 2, math.log(3))) and "a.x" not in rest
+
+
+def test_urls_judged_as_rules_would(spark):
+    """Trees taught by four in five of the urls that rules judge agree with the rules on the fifth."""
+    rng = random.Random(3)
+    words = ["news", "blog", "m", "shop"]
+    rows = [(i, f"https://{rng.choice(words)}.{rng.choice(words)}{rng.randrange(50)}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.randrange(10**5)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    ruled = {r.id: r for r in op4_url_filter.url_filter(df).collect() if r.rule is not None}
+    stats, model = op4_url_filter.fit_urls(spark.createDataFrame([(dict(rows)[i], r.host, r.path, r.verdict) for i, r in ruled.items() if i % 5], "url string, host string, path string, verdict string"))
+    held = [(i, r) for i, r in ruled.items() if i % 5 == 0]
+    x = np.array([op4_url_filter.lexical(dict(rows)[i], r.host, r.path, stats) for i, r in held])
+    assert np.mean([(s >= 0.5) == (r.verdict == "block") for s, (_, r) in zip(op4_url_filter.tree_scores(x, model), held)]) > 0.97
+
+
+def test_hubs_of_components(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 20)
+    rng = random.Random(1)
+    edges = [(1000, i) for i in range(2000, 2300)] + [(i, 5) for i in range(100, 200)] + [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(150)]
+    nodes = {n for e in edges for n in e}
+    up = closure(edges, nodes)
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: up[n] for a, b in edges if a != b for n in (a, b)}
+
+
+def test_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select((F.col("id") % 3000).alias("x"))
+    want = [r.x for r in df.orderBy(F.xxhash64("x"), "x").limit(100).collect()]
+    assert [r.x for r in common.smallest(df, F.xxhash64("x"), 100, 5000, ["x"]).collect()] == want
+    same = spark.range(5000).select(F.lit(7).alias("x"))  # one hash for all
+    assert common.smallest(same, F.xxhash64("x"), 100, 5000, ["x"]).count() == 100
+    assert common.smallest(df.limit(0), F.xxhash64("x"), 100, 0, ["x"]).count() == 0
