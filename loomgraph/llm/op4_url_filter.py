@@ -85,10 +85,13 @@ def suffix_counts(urls: list[tuple[str, str]], y: np.ndarray) -> dict[str, tuple
     return {s: (n, bad[s]) for s, n in seen.items()}
 
 
-def suffix_statistics(counts: dict[str, tuple[int, int]], but: dict[str, tuple[int, int]] | None = None) -> dict[str, tuple[float, float]]:
-    """Smoothed share of block and log count of each suffix, without the counts ``but``."""
+def suffix_statistics(counts: dict[str, tuple[int, int]], but: dict[str, tuple[int, int]] | None = None, scale: float = 1.0) -> dict[str, tuple[float, float]]:
+    """Smoothed share of block and log count of each suffix.
+
+    The counts ``but`` are left out; ``scale`` makes up for the rows that this takes away.
+    """
     less = but or {}
-    rest = {s: (n - less.get(s, (0, 0))[0], bad - less.get(s, (0, 0))[1]) for s, (n, bad) in counts.items()}
+    rest = {s: (scale * (n - less.get(s, (0, 0))[0]), scale * (bad - less.get(s, (0, 0))[1])) for s, (n, bad) in counts.items()}
     return {s: ((bad + 1) / (n + 2), math.log1p(n)) for s, (n, bad) in rest.items() if n}
 
 
@@ -166,7 +169,7 @@ def fit_urls(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
     counts = suffix_counts(urls, y)
     # a row's statistics in training are those of the other folds, so its label doesn't show in them
     fold = np.arange(len(rows)) % FOLDS
-    other = [suffix_statistics(counts, suffix_counts([urls[i] for i in np.flatnonzero(fold == k)], y[fold == k])) for k in range(FOLDS)]
+    other = [suffix_statistics(counts, suffix_counts([urls[i] for i in np.flatnonzero(fold == k)], y[fold == k]), len(rows) / max(1, (fold != k).sum())) for k in range(FOLDS)]
     x = np.array([lexical(r["url"], r["host"], r["path"], other[k]) for r, k in zip(rows, fold)])
     return suffix_statistics(counts), fit_trees(x, y)
 
