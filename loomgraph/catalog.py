@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import catalog_workspace, engine
 from .functions import paths as P
 from .operators import chains, conventions, extract, graph, report, resolve, rules, symbols, text
 from .plans import bindings as B
@@ -19,7 +20,7 @@ code = B.code_files
 
 def users(s, d):
     ensure_checkpoints(s)
-    return B.view(s, d, B.EDGES_USER_NEXT, "events")
+    return B.user_next(s.read.parquet(f"{d}/events.parquet"))
 
 
 def _lines(s, d):
@@ -89,8 +90,7 @@ def _symbol_index(s, d):
 def _report(kind, view=files):
     def query(s, d):
         f = view(s, d)
-        links = resolve.links(resolve.resolve_imports(extract.imports(f), f)).select("source", "target", "type", "strength")
-        return report.build(kind, f, links, "0")
+        return report.build(kind, f, engine.link_files(f), "0", "/w")
     return query
 
 
@@ -112,21 +112,21 @@ _DEFS = {
     "degrees": (lambda s, d: graph.degrees(supp(s, d)), f"WITH {_E}, {_D} SELECT * FROM d"),
     "hubs": (lambda s, d: graph.hubs(supp(s, d)), f"WITH {_E}, {_D}, h AS (SELECT *, 2 * (in_degree + out_degree) AS score FROM d WHERE in_degree + out_degree > 2) SELECT *, row_number() OVER (ORDER BY score DESC, file) AS rank FROM h ORDER BY score DESC, file LIMIT 12"),
     "hub_risk": (lambda s, d: graph.hub_risk(supp(s, d)), f"WITH {_E} SELECT target AS file, count(DISTINCT source) AS importers, CASE WHEN count(DISTINCT source) > 8 THEN 'High' WHEN count(DISTINCT source) > 4 THEN 'Medium' ELSE 'Low' END AS risk FROM e GROUP BY target"),
-    "centrality": (lambda s, d: graph.centrality(supp(s, d)), f"WITH {_E}, {_D} SELECT file, 2 * in_degree + out_degree AS score FROM d ORDER BY score DESC, file LIMIT 8"),
+    "centrality": (lambda s, d: graph.centrality(supp(s, d)), f"WITH {_E}, {_D} SELECT file, 2 * in_degree + out_degree AS score, in_degree, out_degree FROM d ORDER BY score DESC, file LIMIT 8"),
     "co_import_pairs": (lambda s, d: graph.co_import_pairs(order(s, d)), f"WITH e AS ({B.EDGES_ORDER_PART}) SELECT a.target AS a, b.target AS b, count(*) AS shared FROM e a JOIN e b ON a.source = b.source AND a.target < b.target GROUP BY 1, 2 HAVING count(*) >= 2"),
     "blast_radius": (lambda s, d: graph.blast_radius(users(s, d)), f"""WITH {_U}, l AS ({_LOW}), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source) AS n FROM l),
       i AS (SELECT a.target AS file, count(DISTINCT b.source) AS indirect FROM r a JOIN r b ON b.target = a.source AND b.n <= 3 WHERE a.n <= 10 AND b.source <> a.target GROUP BY 1),
       x AS (SELECT target AS file, count(*) AS direct FROM l GROUP BY 1) SELECT file, direct, coalesce(indirect, 0) AS indirect, direct + coalesce(indirect, 0) AS blast FROM x LEFT JOIN i USING (file)"""),
-    "merge_reverse": (lambda s, d: graph.merge_reverse(users(s, d)), f"""WITH {_U}, l AS ({_LOW}) SELECT a.source, a.target, CASE WHEN b.source IS NULL THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS strength, b.source IS NOT NULL AS bidirectional
+    "merge_reverse": (lambda s, d: graph.merge_reverse(users(s, d)), f"""WITH {_U}, l AS ({_LOW}) SELECT a.source, a.target, 'import' AS type, CASE WHEN b.source IS NULL THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS strength, b.source IS NOT NULL AS bidirectional
       FROM l a LEFT JOIN l b ON a.source = b.target AND a.target = b.source WHERE b.source IS NULL OR a.source < a.target"""),
     "impact": (lambda s, d: graph.impact(users(s, d), 1), f"""WITH {_U}, {_D}, x AS (SELECT DISTINCT source AS file FROM e WHERE target = 1 AND source <> 1)
       SELECT x.file AS dependent, in_degree, (SELECT count(*) FROM x) AS dependents, CASE WHEN (SELECT count(*) FROM x) >= 5 THEN 'HIGH' WHEN (SELECT count(*) FROM x) >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x JOIN d USING (file) ORDER BY in_degree DESC, dependent LIMIT 5"""),
     "focus_metrics": (lambda s, d: graph.focus_metrics(users(s, d), 1), f"""WITH {_U}, n AS (SELECT * FROM e WHERE source = 1 OR target = 1), x AS (SELECT source AS file, 1 AS i, 0 AS x FROM n UNION ALL SELECT target, 0, 1 FROM n)
-      SELECT file, sum(i)::BIGINT AS imports, sum(x)::BIGINT AS exports, count(*) AS total, false AS circular, file = 1 OR count(*) > 5 AS is_hub, count(*) AS importance FROM x GROUP BY file"""),
-    "graph_stats": (lambda s, d: graph.graph_stats(users(s, d)), f"WITH {_U}, l AS ({_LOW}) SELECT (SELECT count(*) FROM (SELECT source FROM l UNION SELECT target FROM l)) AS files, (SELECT count(*) FROM l) AS links, (SELECT count(*) FROM l a JOIN l b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target) AS two_way"),
+      SELECT file, sum(i)::BIGINT AS imports, sum(x)::BIGINT AS exports, 0::BIGINT AS calls, count(*) AS total, false AS circular, file = 1 OR count(*) > 5 AS is_hub, count(*) AS importance FROM x GROUP BY file"""),
+    "graph_stats": (lambda s, d: graph.graph_stats(users(s, d)), f"WITH RECURSIVE {_U}, l AS ({_LOW}), r AS (SELECT source, target FROM l UNION SELECT r.source, l.target FROM r JOIN l ON l.source = r.target), g AS (SELECT a.source AS n, least(a.source, min(a.target)) AS c FROM r a JOIN r b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.source) SELECT (SELECT count(*) FROM (SELECT source FROM l UNION SELECT target FROM l)) AS files, (SELECT count(*) FROM l) AS links, (SELECT count(*) FROM l a JOIN l b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target) AS two_way, (SELECT count(DISTINCT c) FROM g) AS cycle_groups"),
     "strong_components": (lambda s, d: graph.strong_components(users(s, d)), f"""WITH RECURSIVE {_U}, l AS ({_LOW}), r AS (SELECT source, target FROM l UNION SELECT r.source, l.target FROM r JOIN l ON l.source = r.target),
       m AS (SELECT a.source AS node, least(a.source, min(a.target)) AS component FROM r a JOIN r b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.source) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM m"""),
-    "directory_stats": (lambda s, d: graph.directory_stats(files(s, d)), f"WITH {_S} SELECT dir, count(*) AS files, string_agg(DISTINCT ext, ',' ORDER BY ext) AS extensions FROM f GROUP BY dir HAVING count(*) >= 2 ORDER BY files DESC, dir LIMIT 12"),
+    "directory_stats": (lambda s, d: graph.directory_stats(files(s, d)), f"WITH {_S} SELECT dir, sum(c)::BIGINT AS files, string_agg(concat(ext, ':', c), ',' ORDER BY ext) AS extensions, CASE regexp_extract(dir, '[^/]*$') WHEN 'tests' THEN 'Tests' WHEN 'config' THEN 'Configuration' ELSE 'General' END AS purpose FROM (SELECT dir, ext, count(*) AS c FROM f GROUP BY 1, 2) GROUP BY dir HAVING sum(c) >= 2 ORDER BY files DESC, dir LIMIT 12"),
     "path_scalars": (_scalars, f"""WITH {_S} SELECT path, ext, regexp_replace(basename, '(.)\\.[^.]*$', '\\1') AS stem, CASE WHEN rel LIKE 'node_modules/%' THEN 'third_party' WHEN rel LIKE 'tests/%' THEN 'test' ELSE 'app' END AS file_class,
       regexp_extract(path, '[^/]*/[^/]*$') AS short, replace(regexp_replace(rel, '\\.py$', ''), '/', '.') AS module, rel LIKE 'node_modules/%' AS excluded FROM f"""),
     "integrations": (lambda s, d: rules.integrations(files(s, d)), f"WITH {_S} SELECT path AS file, 'integration' AS family, CASE ext WHEN '.py' THEN 'HTTP client: requests' ELSE 'HTTP client: axios' END AS message FROM f WHERE regexp_matches(content, 'requests\\.(get|post|put|delete|patch)|axios\\.(get|post|put|delete|patch|request)')"),
@@ -168,7 +168,7 @@ _DEFS |= {
       WHEN '.ts' THEN [{_one("'I', k", "interface", "NULL", "NULL", 1)}, {_one("'handleReq'", "function", "'(a, b)'", "NULL", 5)}]
       WHEN '.java' THEN [{_one("'R', k", "record", "'(int a, int b)'", "NULL", 1)}, {_one("'C', k", "class", "NULL", "'Base'", 2)}, {_one("'getAll'", "method", "'(int n)'", "NULL", 3)}]
       ELSE [{_one("'Run', k", "function", "'(a int)'", "NULL", 1)}] END) AS m FROM f)"""),
-    "function_naming": (lambda s, d: symbols.function_naming(code(s, d), None), f"WITH {_C} SELECT CASE ext WHEN '.ts' THEN 'handle' ELSE 'get' END AS verb, count(*) AS n, min(CASE ext WHEN '.ts' THEN 'handleReq' WHEN '.py' THEN 'get_item' ELSE 'getAll' END) AS example FROM f WHERE ext <> '.go' GROUP BY 1"),
+    "function_naming": (lambda s, d: symbols.function_naming(code(s, d), None), f"WITH {_C} SELECT CASE ext WHEN '.ts' THEN 'handle' ELSE 'get' END AS verb, sum(CASE ext WHEN '.java' THEN 2 ELSE 1 END)::BIGINT AS n, min_by(CASE ext WHEN '.ts' THEN 'handleReq' WHEN '.py' THEN 'get_item' ELSE 'getAll' END, path) AS example FROM f WHERE ext <> '.go' GROUP BY 1"),
     "frameworks": (lambda s, d: conventions.frameworks(code(s, d)), f"WITH {_C} SELECT DISTINCT 'FastAPI' AS name FROM f WHERE contains(path, '/api/')"),
     "layer_flows": (lambda s, d: conventions.layer_flows(code(s, d).withColumn("path", F.concat(F.lit("/w/service"), "path"))), f"WITH {_C} SELECT DISTINCT 'Data flow' AS name FROM f WHERE contains(path, 'model')"),
     "test_organisation": (lambda s, d: conventions.test_organisation(s.read.parquet(f"{d}/part.parquet").select(F.concat(F.when(F.col("p_size") % 3 == 0, "Test").otherwise("x"), "p_name").alias("stem"), F.col("p_brand").alias("dir"))), "SELECT p_brand AS dir, count(*) AS files FROM part WHERE p_size % 3 = 0 OR regexp_matches(lower(p_name), 'test|spec') GROUP BY 1"),
@@ -189,5 +189,5 @@ _DEFS |= {
     "report_context": (_report("context"), None),
 }
 
-QUERIES = {k: q for k, (q, _) in _DEFS.items()}
-ORACLES = {k: o for k, (_, o) in _DEFS.items() if o}
+QUERIES = {k: q for k, (q, _) in _DEFS.items()} | catalog_workspace.QUERIES
+ORACLES = {k: o for k, (_, o) in _DEFS.items() if o} | catalog_workspace.ORACLES

@@ -18,6 +18,21 @@ ENVIRONMENTS = ("venv", ".venv", "env", ".env", "virtualenv", ".virtualenv", ".t
 TEST_OUTPUT = ("e2e", "playwright-report", "test-results", "cypress", ".playwright")
 PROFILES = {"standard": EXCLUDED, "broad": tuple(dict.fromkeys(EXCLUDED + BUILD_OUTPUT + ENVIRONMENTS + TEST_OUTPUT))}
 TEST_DIRS = ("test", "tests", "spec", "__tests__")
+# Application files that are no part of its structure.
+UNSTRUCTURAL_DIRS = ("alembic", "migrations", "hooks")
+UNSTRUCTURAL_FILES = ("playwright.config.ts", "openapi-ts.config.ts", "vite.config.ts", "vitest.config.ts", "jest.config.ts", "jest.config.js")
+GENERATED_ENDS = (".gen.ts", ".gen.js", ".gen.tsx", ".gen.jsx")
+# Stems of tools and manifests.
+TOOLS = ("jest", "webpack", "vite", "tailwind", "eslint", "prettier", "tsconfig", "babel", "postcss", "rollup")
+MANIFESTS = ("package", "package-lock", "tsconfig", "jsconfig")
+# Changes of these files are tracked, but not below these folders.
+TRACKED = (".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".java", ".cpp", ".c", ".cs", ".go", ".rs")
+UNTRACKED_DIRS = ("node_modules", ".git", "__pycache__", ".venv", "venv", "build", "dist", "target", "coverage", ".next", ".pytest_cache", ".mypy_cache", ".tox", "htmlcov")
+# What a folder of a name is for.
+PURPOSES = {
+    "src": "Source code", "source": "Source code", "lib": "Libraries", "test": "Tests", "tests": "Tests", "spec": "Tests", "docs": "Documentation", "doc": "Documentation",
+    "config": "Configuration", "utils": "Utilities", "helpers": "Utilities", "api": "API layer", "server": "Server code", "client": "Client code", "frontend": "Frontend",
+    "backend": "Backend", "models": "Data models", "views": "Views/UI", "controllers": "Controllers", "services": "Services", "components": "Components"}
 
 
 def basename(path: Column) -> Column:
@@ -62,6 +77,61 @@ def file_class(rel: Column) -> Column:
     return F.when(F.arrays_overlap(inner, F.array(*map(F.lit, THIRD_PARTY))), "third_party").when(test, "test").otherwise("app")
 
 
+def is_structural(rel: Column) -> Column:
+    """An application file that is no migration, hook, tool configuration or generated client."""
+    low = F.lower(rel)
+    # a folder at the root has no slash before it and stays
+    inner = F.slice(F.split(low, "/"), 2, F.greatest(F.size(F.split(low, "/")) - 2, F.lit(0)))
+    generated = F.lit(False)
+    for end in GENERATED_ENDS:
+        generated = generated | low.endswith(end)
+    return (file_class(rel) == "app") & ~F.arrays_overlap(inner, F.array(*map(F.lit, UNSTRUCTURAL_DIRS))) & ~basename(low).isin(*UNSTRUCTURAL_FILES) & ~generated
+
+
+def is_tooling(rel: Column) -> Column:
+    """A configuration or tool file, by its path."""
+    low = F.lower(rel)
+    name = stem(low)
+    out = low.contains("config") | name.isin(*MANIFESTS) | name.startswith("next.") | name.startswith("vitest.")
+    for tool in TOOLS:
+        out = out | name.contains(tool)
+    return out
+
+
+def is_tracked(path: Column, own: str = "_kb") -> Column:
+    """A source file whose changes count: a known extension, no generated or vendor folder, not the folder of the reports."""
+    folders = F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/")
+    inner = F.slice(folders, 2, F.greatest(F.size(folders) - 2, F.lit(0)))
+    return extension(path).isin(*TRACKED) & ~F.arrays_overlap(inner, F.array(*map(F.lit, (*UNTRACKED_DIRS, own))))
+
+
+def purpose(folder: Column) -> Column:
+    """What a folder is for, by its own name."""
+    low, out = F.lower(basename(folder)), F.lit("General")
+    for name, text in PURPOSES.items():
+        out = F.when(low == name, text).otherwise(out)
+    return out
+
+
+def settings_names(patterns: list[str]) -> list[str]:
+    """Bare names of an editor's exclude patterns: stars at the ends and ** go; more than two characters, no star within."""
+    bare = [x.replace("**/", "").replace("/**", "").strip("*").lower() for x in patterns]
+    return [x for x in bare if len(x) > 2 and "*" not in x]
+
+
+def is_settings_excluded(path: Column, patterns: list[str]) -> Column:
+    """The lower-case path contains the bare name of a pattern."""
+    out = F.lit(False)
+    for name in settings_names(patterns):
+        out = out | F.lower(path).contains(name)
+    return out
+
+
+def line_end(content: Column) -> Column:
+    """The line end of a text: CRLF where it has one, else LF."""
+    return F.when(content.contains("\r\n"), "CRLF").otherwise("LF")
+
+
 def is_excluded(rel: Column, names=EXCLUDED, never=()) -> Column:
     """A folder of the path has an excluded name that isn't among ``never``."""
     return F.arrays_overlap(F.split(dirname(rel), "/"), F.array(*[F.lit(n) for n in names if n not in never]))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import heapq
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import co_import_pairs
+from ..functions import paths as P
+from .graph import between, co_import_pairs, structural
 
 
 def walk(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -42,9 +45,11 @@ def dependency_chains(edges: DataFrame, entries: DataFrame | None = None, n: int
     return best.select("chain", F.size("chain").alias("depth"), F.col("start").alias("start_path"), F.col("entry").alias("starts_from_entry"))
 
 
-def circular_pairs(edges: DataFrame, n: int = 5) -> DataFrame:
-    """(a, b): the first n unordered pairs of circular links."""
+def circular_pairs(edges: DataFrame, n: int = 5, files: DataFrame | None = None) -> DataFrame:
+    """(a, b): the first n unordered pairs of circular links; with ``files`` (path, rel) of structural application files."""
     c = edges.filter("type = 'circular' and source <> target")
+    if files is not None:
+        c = between(c, files, structural())
     return c.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct().orderBy("a", "b").limit(n)
 
 
@@ -53,55 +58,150 @@ def cycle_count(edges: DataFrame) -> DataFrame:
     return edges.agg(F.ceil(F.count(F.when(F.col("type") == "circular", 1)) / 2).alias("cycles"))
 
 
-# Stems of tools and manifests.
-TOOLS = ("eslint", "prettier", "jest", "vitest", "vite", "webpack", "rollup", "babel", "tailwind", "postcss", "tsconfig")
-MANIFESTS = ("package", "package-lock", "jsconfig")
-
+_CLUSTER = pa.schema([("seed", pa.string()), ("members", pa.list_(pa.string())), ("files", pa.list_(pa.string())), ("name", pa.string()), ("score", pa.int64()), ("used", pa.string())])
+_CLUSTER_DDL = "seed string, members array<string>, files array<string>, name string, score long, used string"
 
-def is_tooling(path: str) -> bool:
-    """A configuration or tool file, by its path."""
-    low = path.lower()
-    stem = low.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    return "config" in low or stem in MANIFESTS or stem.startswith(("next.", "vitest.")) or any(t in stem for t in TOOLS)
 
+def _greedy(n: int, most: int):
+    """The n best clusters of rows in order of their seeds' totals, and then the files that clusters used.
 
-def module_clusters(edges: DataFrame, n: int = 7, seeds: int = 500) -> DataFrame:
-    """(name, files, score) of files that the same importers share, best seeds first.
-
-    A report's top: the greedy pass sees the ``seeds`` files of the largest total and
-    the seven partners each shares most with, so its one task is bounded whatever the
-    graph. A seed that an earlier cluster has is skipped, configuration files go, two
-    files at least stay. The folder of the first file names it; equal names get a number.
+    A cluster's score is at most its seed's total, so the walk ends at a seed whose
+    total the n-th best score has; no used files are told then.
     """
-    pairs = co_import_pairs(edges)
-    both = pairs.select(F.col("a").alias("seed"), F.col("b").alias("other"), "shared").union(pairs.select("b", "a", "shared"))
-    total = both.groupBy("seed").agg(F.sum("shared").alias("total")).orderBy(F.desc("total"), "seed").limit(seeds)
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("shared"), "other"))
-    near = both.join(F.broadcast(total), "seed").withColumn("r", rank).filter("r <= 7")
-
-    def greedy(df: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (_, seed), g in df.sort_values(["total", "seed", "r"], ascending=[False, True, True]).groupby(["total", "seed"], sort=False):
-            if seed in used:
+
+    def best(batches):
+        used: set[str] = set()
+        top: list[tuple] = []
+        now, members, score, walked = None, [], 0, 0
+
+        def close():
+            nonlocal members, score, walked
+            if now is not None and members:
+                seed, tooling, total = now
+                names = [seed, *[m for m, _ in members]]
+                files = sorted({m for m, tool in [(seed, tooling), *members] if not tool})[:most]
+                used.update(names)
+                if len(files) >= 2:
+                    parts = files[0].split("/")
+                    name = parts[-2] if len(parts) > 1 else parts[-1]
+                    name = name[:1].upper() + name[1:]
+                    walked += 1  # of equal ones the first stays
+                    heapq.heappush(top, (score, _Down(name), -walked, seed, names, files, name))
+                    if len(top) > n:
+                        heapq.heappop(top)
+            members, score = [], 0
+
+        ended = False
+        for batch in batches:
+            if ended:
                 continue
-            group = [seed, *g["other"]]
-            used.update(group)
-            files = sorted(f for f in group if not is_tooling(f))
-            if len(files) >= 2 and len(out) < n:
-                parts = files[0].split("/")
-                name = parts[-2] if len(parts) > 1 else parts[-1]
-                out.append((name[:1].upper() + name[1:], files, int(g["shared"].sum())))
-        return pd.DataFrame(out, columns=["name", "files", "score"])
-
-    ready = near.select(F.lit(1).alias("k"), F.col("seed").cast("string").alias("seed"), F.col("other").cast("string").alias("other"), "shared", "total", "r")
-    out = ready.groupBy("k").applyInPandas(greedy, "name string, files array<string>, score long")
-    w = Window.partitionBy("name")
-    numbered = F.when(F.count("*").over(w) > 1, F.concat("name", F.lit(" #"), F.row_number().over(w.orderBy(F.desc("score"), "files")).cast("string"))).otherwise(F.col("name"))
-    return out.select(numbered.alias("name"), "files", "score")
-
-
-def directory_clusters(edges: DataFrame, n: int = 3) -> DataFrame:
-    """(name, files): the n folders with most endpoints, three or more; the fallback of few clusters."""
+            for seed, tooling, total, other, tool, shared in zip(*(batch.column(c).to_pylist() for c in ("seed", "seed_tool", "total", "other", "other_tool", "shared"))):
+                if now is None or seed != now[0]:
+                    close()
+                    if len(top) == n and total < top[0][0]:
+                        ended, now = True, None
+                        break
+                    now = (seed, tooling, total)
+                if seed not in used:
+                    members.append((other, tool))
+                    score += shared
+        close()
+        rows = [(seed, names, files, name, score, None) for score, _, _, seed, names, files, name in sorted(top, key=lambda t: -t[2])]
+        rows += [] if ended or len(top) >= 3 else [(None, None, None, None, None, u) for u in sorted(used)]
+        yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CLUSTER)], schema=_CLUSTER)
+
+    return best
+
+
+class _Down(str):
+    """Strings in descending order."""
+
+    def __lt__(self, other):
+        return str.__gt__(self, other)
+
+
+def module_clusters(edges: DataFrame, n: int = 7, rel: Column | None = None) -> DataFrame:
+    """(name, files, reason, shared, score) of files that the same importers share, best first.
+
+    Seeds go by the sum of what they share with later files; a seed takes the seven that
+    share most with it, all of them are used then. Configuration files go, two files at
+    least stay, eight at most are listed. The folder of the first file names a cluster,
+    equal names get its parent folder or a number. The reason lists the first three
+    shared importers, ``shared`` is their number. Fewer than three clusters among more
+    than five targets are filled with folders (``directory_clusters``).
+
+    The pairs are counted by all tasks; the greedy walk passes seven rows of each seed
+    in order and stops at the first seed that can't be among the n best. ``rel`` is the
+    name under which a file ``f`` is listed (default: as it is).
+    """
+    named = F.col("f").cast("string") if rel is None else rel
+    e = edges.filter("source <> target").select("source", "target").distinct()
+    pairs = co_import_pairs(e)
+    total = pairs.groupBy(F.col("a").alias("seed")).agg(F.sum("shared").alias("total"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    near = pairs.withColumn("r", rank).filter("r <= 7").join(total, F.col("a") == F.col("seed"))
+    label = lambda df, c: df.withColumn("f", F.col(c)).withColumn(c, named).drop("f")
+    near = near.select("seed", "total", F.col("b").alias("other"), "shared", "r")
+    near = label(label(near, "seed"), "other")
+    near = near.withColumn("seed_tool", P.is_tooling(F.col("seed"))).withColumn("other_tool", P.is_tooling(F.col("other")))
+    ordered = near.select("seed", "seed_tool", "total", "other", "other_tool", "shared", "r").orderBy(F.desc("total"), "seed", "r")
+    found = ordered.coalesce(1).mapInArrow(_greedy(n, 8), _CLUSTER_DDL)
+    rows = found.collect()  # n clusters; with fewer than three, what they used
+    clusters = sorted(((r["name"], r["files"], r["members"], r["score"], r["seed"]) for r in rows if r["used"] is None), key=lambda c: (-c[3], c[0]))
+    spark = edges.sparkSession
+    reasons = {}
+    if clusters:
+        of = spark.createDataFrame([(c[4], m) for c in clusters for m in c[2]], "seed string, f2 string")
+        flat = label(e.withColumn("f2", F.col("target")), "f2").withColumn("importer", F.col("source"))
+        hits = label(flat.select("f2", "importer"), "importer").join(F.broadcast(of), "f2")
+        each = hits.groupBy("seed", "importer").agg(F.count("*").alias("c"), F.max(F.col("f2") == F.col("seed")).alias("own")).filter("own and c > 1")
+        ranked = each.withColumn("i", F.row_number().over(Window.partitionBy("seed").orderBy("importer"))).filter("i <= 3")
+        count = each.groupBy("seed").agg(F.count("*").alias("shared"))
+        for r in ranked.groupBy("seed").agg(F.array_sort(F.collect_list("importer")).alias("first")).join(count, "seed").collect():
+            reasons[r["seed"]] = (r["first"], r["shared"])
+    out = []
+    for name, files, _, score, seed in clusters:
+        first, shared = reasons.get(seed, ([], 0))
+        more = f" (+{shared - 3} more)" if shared > 3 else ""
+        out.append((name, files, "Imported together by " + ", ".join(first) + more, shared, score))
+    if len(out) < 3:
+        targets = e.select("target").distinct().limit(6).count()
+        if targets > 5:
+            used = [r["used"] for r in rows if r["used"] is not None] + [m for c in clusters for m in c[2]]
+            rest = label(e.select(F.explode(F.array("source", "target")).alias("file")).distinct(), "file")
+            rest = rest.join(F.broadcast(spark.createDataFrame([(u,) for u in used], "file string")), "file", "left_anti")
+            for r in directory_clusters(rest.select(F.col("file").alias("source"), F.col("file").alias("target")), listed=8).collect():
+                name = r["name"].rsplit("/", 1)[-1] or "Root"
+                if len(out) < n and name not in [c[0] for c in out]:
+                    out.append((name, r["first"], f"Files in {r['name']}/", 0, r["files"]))
+    return spark.createDataFrame(_apart(out), "name string, files array<string>, reason string, shared long, score long")
+
+
+def _apart(clusters: list[tuple]) -> list[tuple]:
+    """Clusters of one name get the folder of their first file, or a number where folders agree too."""
+    out = list(clusters)
+    for name in {c[0] for c in clusters}:
+        at = [i for i, c in enumerate(clusters) if c[0] == name]
+        if len(at) > 1:
+            parts = [(clusters[i][1] or [""])[0].split("/") for i in at]
+            folders = [p[-2] if len(p) > 1 else p[0].rsplit(".", 1)[0] for p in parts]
+            single = len(set(folders)) == len(folders) and all(folders)
+            for k, i in enumerate(at):
+                out[i] = (f"{name} ({folders[k]})" if single else f"{name} #{k + 1}", *clusters[i][1:])
+    return out
+
+
+def directory_clusters(edges: DataFrame, n: int = 3, listed: int = 0) -> DataFrame:
+    """(name, files[, first]): the n folders with most endpoints, three or more; the fallback of few clusters.
+
+    With ``listed`` configuration files don't count, and ``first`` has so many of a folder's files.
+    """
     ends = edges.select(F.explode(F.array("source", "target")).alias("file")).distinct()
-    d = ends.withColumn("name", F.regexp_replace("file", r"/?[^/]*$", "")).groupBy("name").agg(F.count("*").alias("files"))
-    return d.filter("files >= 3").orderBy(F.desc("files"), "name").limit(n)
+    if listed:
+        ends = ends.filter(~P.is_tooling(F.col("file")))
+    d = ends.withColumn("name", P.dirname(F.col("file")))
+    top = d.groupBy("name").agg(F.count("*").alias("files")).filter("files >= 3").orderBy(F.desc("files"), "name").limit(n)
+    if not listed:
+        return top
+    own = d.join(F.broadcast(top), "name").withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("file"))).filter(F.col("i") <= listed)
+    return own.groupBy("name", "files").agg(F.array_sort(F.collect_list("file")).alias("first")).orderBy(F.desc("files"), "name")

@@ -49,6 +49,30 @@ def test_organisation(files: DataFrame) -> DataFrame:
     return files.filter(hit).groupBy("dir").agg(F.count("*").alias("files"))
 
 
+# Names of test files by pattern.
+TEST_STYLES = (("*.test.*", r"\.test\."), ("*.spec.*", r"\.spec\."), ("test_*", r"^test_"))
+
+
+def test_styles(files: DataFrame) -> DataFrame:
+    """(style, files): how test files are named."""
+    hits = F.array(*[F.when(F.lower("basename").rlike(p), name) for name, p in TEST_STYLES])
+    return files.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("style")).groupBy("style").agg(F.count("*").alias("files"))
+
+
+def test_summary(files: DataFrame) -> DataFrame:
+    """One line (n, text) on the test files and their first two folders, none without test files.
+
+    Files of the class test are looked at, all files where there are none of it.
+    """
+    some = files.agg(F.coalesce(F.max(F.col("file_class") == "test"), F.lit(False)).alias("some"))
+    own = test_organisation(files.join(F.broadcast(some)).filter("not some or file_class = 'test'"))
+    name = F.when(F.lower("dir").contains("test"), F.regexp_extract("dir", r"[^/]*$", 0))
+    named = own.select(name.alias("d")).filter("d is not null").distinct().orderBy("d").limit(2).agg(F.array_sort(F.collect_list("d")).alias("dirs"))
+    row = own.agg(F.sum("files").alias("files")).filter("files > 0").join(F.broadcast(named))
+    text = F.concat(F.lit("Test files: "), F.col("files").cast("string"), F.when(F.size("dirs") > 0, F.concat(F.lit(" | Folders: "), F.array_join("dirs", ", "))).otherwise(""))
+    return row.select(F.lit(1).cast("long").alias("n"), text.alias("text"))
+
+
 def symbol_index(files: DataFrame, edges: DataFrame, findings: DataFrame, n: int = 40) -> DataFrame:
     """(file, score) of the n best files: 2 * in + out, 25 for a finding (file), -10 for a test; no third party."""
     f = files.filter("file_class <> 'third_party'").select(F.col("path").alias("file"), (F.col("file_class") == "test").alias("test"))

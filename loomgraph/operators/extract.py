@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NAME = r"[A-Za-z_$][\w$]*"
 SPACES = r"^[\s]+|[\s]+\z"
 
 
@@ -27,7 +26,7 @@ def _found(module: Column, symbols: Column, default) -> Column:
 def _names(text: Column) -> Column:
     """Imported names of a comma list, without alias, type mark, brackets or comment."""
     bare = F.transform(F.split(F.regexp_replace(text, r"#.*|//.*", ""), ","), lambda x: trim(F.regexp_replace(F.regexp_replace(x, r"[(){}]", " "), r"\s+as\s+.*", "")))
-    return F.filter(F.transform(bare, lambda x: F.regexp_replace(x, r"^type\s+", "")), lambda x: x != "")
+    return F.filter(F.transform(bare, lambda x: F.regexp_replace(x, r"^type\s+", "")), lambda x: ~x.isin("", "type"))
 
 
 def _last(module: Column, sep: str = ".") -> Column:
@@ -46,23 +45,29 @@ def _python(t: Column) -> Column:
 
 
 def _script(t: Column) -> Column:
-    q, frm = r"""['"]([^'"]+)['"]""", r"""\s*from\s*['"]([^'"]+)['"]"""
-    star = F.array(F.lit("*"))
-    g = lambda p, i: F.regexp_extract(t, p, i)
-    one = lambda c: F.array(c)
-    rules = [
-        (r"^import\s*" + q, lambda p: _found(g(p, 1), star, False)),
-        (r"^export\s+(?:type\s+)?\{([^}]*)\}" + frm, lambda p: _found(g(p, 2), _names(g(p, 1)), False)),
-        (r"^export\s+\*(?:\s+as\s+\w+)?" + frm, lambda p: _found(g(p, 1), star, False)),
-        (rf"^import\s+(?:type\s+)?({NAME})\s*,\s*\{{([^}}]*)\}}" + frm, lambda p: _found(g(p, 3), F.concat(one(g(p, 1)), _names(g(p, 2))), True)),
-        (rf"^import\s+(?:type\s+)?\*\s+as\s+({NAME})" + frm, lambda p: _found(g(p, 2), one(g(p, 1)), False)),
-        (r"^import\s+(?:type\s+)?\{([^}]*)\}" + frm, lambda p: _found(g(p, 2), _names(g(p, 1)), False)),
-        (rf"^import\s+(?:type\s+)?({NAME})" + frm, lambda p: _found(g(p, 2), one(g(p, 1)), True)),
-        (rf"({NAME})\s*=\s*require\(\s*{q}", lambda p: _found(g(p, 2), one(g(p, 1)), True)),
-        (r"import\(\s*" + q, lambda p: _found(g(p, 1), star, False))]
+    """The first form that a line has; a list over several lines is none."""
+    quoted, spaces = r"""['"]([^'"]+)['"]""", r"\s*"
+    origin = rf"{spaces}from{spaces}{quoted}"
+    names, space_name, start = r"\{([^}]+)\}", r"\*\s*as\s+(\w+)", r"^import\s+(?:type\s+)?"
+    forms = (  # pattern, number of the module's group, of the names' groups, default or not
+        (rf"^import\s+{quoted}\s*;?\z", 1, "*", False),
+        (rf"^export\s*{names}{origin}", 2, (1,), False),
+        (rf"^export\s*\*\s*(?:as\s+\w+\s*)?from\s*{quoted}", 1, "*", False),
+        (rf"{start}(\w+)\s*,\s*(?:{names}|{space_name}){origin}", 4, (1, 2, 3), True),
+        (rf"{start}{space_name}{origin}", 2, (1,), True),
+        (rf"{start}{names}{origin}", 2, (1,), False),
+        (rf"{start}(\w+)\s+from\s*{quoted}", 2, (1,), True),
+        (rf"(?:const|let|var)\s+(\w+)\s*=\s*require\s*\(\s*{quoted}\s*\)", 2, (1,), True),
+        (rf"(?:const|let|var)\s+{names}\s*=\s*require\s*\(\s*{quoted}\s*\)", 2, (1,), False),
+        (rf"import\s*\(\s*{quoted}\s*\)", 1, "*", False))
     out = None
-    for p, make in rules:
-        out = F.when(t.rlike(p), F.array(make(p))) if out is None else out.when(t.rlike(p), F.array(make(p)))
+    for pattern, module, groups, default in forms:
+        if groups == "*":
+            found = F.array(F.lit("*"))
+        else:
+            found = F.concat(*[_names(F.regexp_extract(t, pattern, g)) for g in groups])
+        value = F.array(_found(F.regexp_extract(t, pattern, module), found, default))
+        out = F.when(t.rlike(pattern), value) if out is None else out.when(t.rlike(pattern), value)
     return out
 
 
@@ -105,8 +110,8 @@ def strength(symbols: Column, is_default: Column) -> Column:
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """(path, line_no, callee, is_external) of every call in the raw lines."""
+    """(path, line_no, callee, is_external, name) of every call in the raw lines; name has the qualifiers too."""
     hits = F.regexp_extract_all("line", F.lit(r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*\("), F.lit(1))
     out = lines(files).select("path", "line_no", F.explode(hits).alias("name"))
     external = F.col("name").contains(".") & ~F.col("name").startswith("this.") & ~F.col("name").startswith("self.")
-    return out.select("path", "line_no", _last(F.col("name")).alias("callee"), external.alias("is_external"))
+    return out.select("path", "line_no", _last(F.col("name")).alias("callee"), external.alias("is_external"), "name")

@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+from ..plans.state import keep
+
+#: An importer of more targets than this has its pairs made by several tasks.
+SPLIT = 5000
+#: A graph of at most so many edges (about 50 MB of text) is searched by one task.
+SMALL = 200_000
+
+
+def between(edges: DataFrame, files: DataFrame, of: Column, ends=("source", "target")) -> DataFrame:
+    """The edges whose given ends are files (path, ...) for which ``of`` holds."""
+    chosen = files.filter(of).select("path").distinct()
+    for end in ends:
+        edges = edges.join(chosen.withColumnRenamed("path", end), end, "left_semi")
+    return edges
+
+
+def app(files_class: str = "file_class") -> Column:
+    return F.col(files_class) == "app"
+
+
+def structural() -> Column:
+    return P.is_structural(F.col("rel"))
+
 
 def degrees(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(file, in_degree, out_degree); of ``files`` (path) where given, else of all endpoints."""
@@ -15,23 +40,42 @@ def degrees(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return files.select(F.col("path").alias("file")).distinct().join(out, "file", "left").na.fill(0, ["in_degree", "out_degree"])
 
 
-def hubs(edges: DataFrame, n: int = 12) -> DataFrame:
-    """The n files of the highest 2 * (in + out) among those with more than two links, ranked."""
+def hubs(edges: DataFrame, n: int = 12, files: DataFrame | None = None) -> DataFrame:
+    """The n files of the highest 2 * (in + out) among those with more than two links, ranked.
+
+    With ``files`` (path, rel) only structural application files are ranked, by all their links.
+    """
     d = degrees(edges).filter("in_degree + out_degree > 2").withColumn("score", 2 * (F.col("in_degree") + F.col("out_degree")))
+    if files is not None:
+        d = d.join(files.filter(structural()).select(F.col("path").alias("file")), "file", "left_semi")
     top = d.orderBy(F.desc("score"), "file").limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "file")).cast("long"))
 
 
-def hub_risk(edges: DataFrame) -> DataFrame:
-    """(file, importers, risk): more than 8 distinct importers High, more than 4 Medium, else Low."""
-    d = edges.filter("source <> target").groupBy(F.col("target").alias("file")).agg(F.countDistinct("source").alias("importers"))
+def hub_risk(edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(file, importers, risk): more than 8 distinct importers High, more than 4 Medium, else Low.
+
+    With ``files`` (path, file_class) only application files count as importers.
+    """
+    e = edges.filter("source <> target")
+    if files is not None:
+        e = between(e, files, app(), ("source",))
+    d = e.groupBy(F.col("target").alias("file")).agg(F.countDistinct("source").alias("importers"))
     return d.withColumn("risk", F.when(F.col("importers") > 8, "High").when(F.col("importers") > 4, "Medium").otherwise("Low"))
 
 
-def centrality(edges: DataFrame, n: int = 8) -> DataFrame:
-    """The n files of the highest 2 * in + out, self links aside."""
-    d = degrees(edges.filter("source <> target"))
-    return d.select("file", (2 * F.col("in_degree") + F.col("out_degree")).alias("score")).orderBy(F.desc("score"), "file").limit(n)
+def centrality(edges: DataFrame, n: int = 8, files: DataFrame | None = None) -> DataFrame:
+    """(file, score, in_degree, out_degree) of the n files of the highest 2 * in + out, self links aside.
+
+    With ``files`` (path, rel, file_class): over links between application files, structural ones ranked.
+    """
+    e = edges.filter("source <> target")
+    if files is not None:
+        e = between(e, files, app())
+    d = degrees(e)
+    if files is not None:
+        d = d.join(files.filter(structural()).select(F.col("path").alias("file")), "file", "left_semi")
+    return d.select("file", (2 * F.col("in_degree") + F.col("out_degree")).alias("score"), "in_degree", "out_degree").orderBy(F.desc("score"), "file").limit(n)
 
 
 def blast_radius(edges: DataFrame, first: int = 10, second: int = 3) -> DataFrame:
@@ -47,38 +91,86 @@ def blast_radius(edges: DataFrame, first: int = 10, second: int = 3) -> DataFram
     return out.withColumn("blast", F.col("direct") + F.col("indirect"))
 
 
-def co_import_pairs(edges: DataFrame, least: int = 2, max_fanout: int | None = None) -> DataFrame:
+def co_import_pairs(edges: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, shared): targets a < b with at least ``least`` common importers.
 
-    ``max_fanout`` leaves out importers of more targets, whose pairs grow with its square.
+    Only targets of so many importers can be in a pair, and only importers of two such
+    targets make one. The pairs of an importer of many targets are made by several
+    tasks: one side goes by salt, the other to each of the salts.
     """
-    e = edges.select("source", "target").distinct()
-    if max_fanout is not None:
-        e = e.join(e.groupBy("source").count().filter(F.col("count") <= max_fanout).select("source"), "source", "left_semi")
-    pairs = e.select("source", F.col("target").alias("a")).join(e.select("source", F.col("target").alias("b")), "source").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    e = edges.filter("source <> target").select("source", "target").distinct()
+    e = e.join(e.groupBy("target").count().filter(F.col("count") >= least).select("target"), "target", "left_semi")
+    fan = e.groupBy("source").agg(F.count("*").alias("fan")).filter("fan > 1").select("source", F.ceil(F.col("fan") / SPLIT).cast("int").alias("salts"))
+    e = e.join(fan, "source")
+    left = e.select("source", F.col("target").alias("a"), F.pmod(F.xxhash64("target"), F.col("salts")).cast("int").alias("salt"))
+    right = e.select("source", F.col("target").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["source", "salt"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
 def merge_reverse(edges: DataFrame) -> DataFrame:
-    """(source, target, strength, bidirectional): both directions as one edge, from the smaller source."""
-    pair = edges.filter("source <> target").groupBy("source", "target").agg(F.max("strength").alias("strength"))
-    low, high = F.least("source", "target"), F.greatest("source", "target")
-    both = pair.groupBy(low.alias("lo"), high.alias("hi")).agg(
-        F.max(F.when(F.col("source") < F.col("target"), F.col("strength"))).alias("ahead"), F.max(F.when(F.col("source") > F.col("target"), F.col("strength"))).alias("back"))
-    two = F.col("ahead").isNotNull() & F.col("back").isNotNull()
-    one = F.col("ahead").isNotNull()
-    return both.select(
-        F.when(one, F.col("lo")).otherwise(F.col("hi")).alias("source"), F.when(one, F.col("hi")).otherwise(F.col("lo")).alias("target"),
-        F.when(two, F.least(F.lit(1.0), F.col("ahead") + 0.5 * F.col("back"))).otherwise(F.coalesce("ahead", "back")).alias("strength"), two.alias("bidirectional"))
-
-
-def impact(edges: DataFrame, target, n: int = 5) -> DataFrame:
-    """(dependent, in_degree, dependents, risk): the n dependents of a file with most links of their own."""
+    """(source, target, type, strength, bidirectional[, symbols, lines]): both directions as one edge, from the smaller source.
+
+    The survivor's type stays; symbols are the union in its order, lines the two lists
+    one after the other, strength grows by half of the other's, 1 at most.
+    """
+    more = [c for c in ("symbols", "lines") if c in edges.columns]
+    row = F.struct("strength", "type", *more)
+    low, high = F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")
+    ahead = F.col("source") < F.col("target")
+    # the strongest of several edges of one direction
+    both = edges.filter("source <> target").groupBy(low, high).agg(F.max(F.when(ahead, row)).alias("one"), F.max(F.when(~ahead, row)).alias("two"))
+    kept, lost = F.coalesce("one", "two"), F.col("two")
+    two = F.col("one").isNotNull() & F.col("two").isNotNull()
+    out = both.withColumn("kept", kept).withColumn("both", two)
+    extra = []
+    if "symbols" in more:
+        extra.append(F.when(F.col("both"), F.array_distinct(F.concat("kept.symbols", lost["symbols"]))).otherwise(F.col("kept.symbols")).alias("symbols"))
+    if "lines" in more:
+        extra.append(F.when(F.col("both"), F.concat("kept.lines", lost["lines"])).otherwise(F.col("kept.lines")).alias("lines"))
+    return out.select(
+        F.when(F.col("one").isNotNull(), F.col("lo")).otherwise(F.col("hi")).alias("source"), F.when(F.col("one").isNotNull(), F.col("hi")).otherwise(F.col("lo")).alias("target"),
+        F.col("kept.type").alias("type"), F.when(F.col("both"), F.least(F.lit(1.0), F.col("kept.strength") + 0.5 * lost["strength"])).otherwise(F.col("kept.strength")).alias("strength"),
+        F.col("both").alias("bidirectional"), *extra)
+
+
+def _risk(n: Column) -> Column:
+    return F.when(n >= 5, "HIGH").when(n >= 3, "MEDIUM").otherwise("LOW")
+
+
+def _dependents(edges: DataFrame, target, files: DataFrame | None) -> DataFrame:
+    """(file): distinct dependents; application and test files where there are some, never third-party ones."""
     dep = edges.filter((F.col("target") == F.lit(target)) & (F.col("source") != F.lit(target))).select(F.col("source").alias("file")).distinct()
-    dep = dep.withColumn("dependents", F.count("*").over(Window.partitionBy(F.lit(1))))
-    out = dep.join(degrees(edges).select("file", "in_degree"), "file")
-    risk = F.when(F.col("dependents") >= 5, "HIGH").when(F.col("dependents") >= 3, "MEDIUM").otherwise("LOW")
-    return out.select(F.col("file").alias("dependent"), "in_degree", "dependents", risk.alias("risk")).orderBy(F.desc("in_degree"), "dependent").limit(n)
+    if files is None:
+        return dep
+    # a dependent that isn't listed has no class; those of a class go first
+    known = files.select(F.col("path").alias("file"), "file_class").distinct()
+    dep = dep.join(known, "file", "left").filter("file_class is null or file_class <> 'third_party'")
+    some = dep.agg(F.coalesce(F.max(F.col("file_class").isNotNull()), F.lit(False)).alias("some"))
+    return dep.join(F.broadcast(some)).filter("not some or file_class is not null").select("file")
+
+
+def impact(edges: DataFrame, target, n: int = 5, files: DataFrame | None = None) -> DataFrame:
+    """(dependent, in_degree, dependents, risk): the n dependents of a file with most links of their own.
+
+    With ``files`` (path, file_class) third-party dependents go.
+    """
+    dep = _dependents(edges, target, files)
+    out = dep.join(degrees(edges).select("file", "in_degree"), "file").join(F.broadcast(dep.agg(F.count("*").alias("dependents"))))
+    return out.select(F.col("file").alias("dependent"), "in_degree", "dependents", _risk(F.col("dependents")).alias("risk")).orderBy(F.desc("in_degree"), "dependent").limit(n)
+
+
+def impact_summary(edges: DataFrame, files: DataFrame, target: str, n: int = 5) -> DataFrame:
+    """One row (file, dependents_count, top_dependents, hub_risk) for a file of ``files`` (path, file_class).
+
+    A third-party file has none and is LOW; a test is MEDIUM at most.
+    """
+    own = files.filter(F.col("path") == target).agg(F.coalesce(F.max("file_class"), F.lit("app")).alias("cls"))
+    top = impact(edges, target, n, files)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("in_degree")).alias("d"), "dependent"))), lambda x: F.struct(x["dependent"].alias("file"), (-x["d"]).alias("dependent_count")))
+    found = top.agg(F.coalesce(F.max("dependents"), F.lit(0)).alias("n"), rows.alias("top")).join(own)
+    out = F.col("cls") == "third_party"
+    risk = F.when(out, "LOW").when((F.col("cls") == "test") & (F.col("n") >= 5), "MEDIUM").otherwise(_risk(F.col("n")))
+    return found.select(F.lit(target).alias("file"), F.when(out, 0).otherwise(F.col("n")).alias("dependents_count"), F.when(out, F.array().cast("array<struct<file: string, dependent_count: bigint>>")).otherwise(F.col("top")).alias("top_dependents"), risk.alias("hub_risk"))
 
 
 def neighbourhood(edges: DataFrame, file) -> DataFrame:
@@ -87,71 +179,153 @@ def neighbourhood(edges: DataFrame, file) -> DataFrame:
 
 
 def focus_metrics(edges: DataFrame, file) -> DataFrame:
-    """(file, imports, exports, total, circular, is_hub, importance) of a neighbourhood's nodes."""
+    """(file, imports, exports, calls, total, circular, is_hub, importance) of a neighbourhood's nodes.
+
+    Circular links are neither imports nor exports. The file itself is always a node,
+    the only one where no link has it.
+    """
     near = neighbourhood(edges, file)
-    ends = near.select(F.explode(F.array(F.struct(F.col("source").alias("file"), F.lit(1).alias("i"), F.lit(0).alias("e"), "type"), F.struct(F.col("target").alias("file"), F.lit(0).alias("i"), F.lit(1).alias("e"), "type"))).alias("x")).select("x.*")
-    on = F.when(F.col("type") == "import", 1).otherwise(0)
-    out = ends.groupBy("file").agg(F.sum(F.col("i") * on).alias("imports"), F.sum(F.col("e") * on).alias("exports"), F.count("*").alias("total"), F.max(F.col("type") == "circular").alias("circular"))
+    end = lambda c, i, x: F.struct(F.col(c).alias("file"), F.lit(i).alias("i"), F.lit(x).alias("e"), "type")
+    ends = near.select(F.explode(F.array(end("source", 1, 0), end("target", 0, 1))).alias("x")).select("x.*")
+    own = edges.sparkSession.range(1).select(F.lit(file).alias("file"), F.lit(0).alias("i"), F.lit(0).alias("e"), F.lit("").alias("type"))
+    of = lambda c, kind: F.sum(F.when(F.col("type") == kind, F.col(c)).otherwise(0))
+    out = ends.unionByName(own).groupBy("file").agg(of("i", "import").alias("imports"), of("e", "import").alias("exports"), of("i", "call").alias("calls"), F.max(F.col("type") == "circular").alias("circular"))
+    out = out.withColumn("total", F.col("imports") + F.col("exports") + F.col("calls"))
     hub = (F.col("file") == F.lit(file)) | (F.col("total") > 5) | F.col("circular")
     return out.withColumn("is_hub", hub).withColumn("importance", F.col("total") + F.when(F.col("circular"), 5).otherwise(0))
 
 
-def _spread_least(labels: DataFrame, edges: DataFrame, max_steps: int) -> DataFrame:
-    """labels (node, label) after the least label has gone along the edges to a fixed point."""
+def focused_graph(edges: DataFrame, file) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, one row of counts) of a file's neighbourhood."""
+    near = neighbourhood(edges, file)
+    counts = near.agg(F.count("*").alias("links"), F.count(F.when(F.col("type") == "circular", 1)).alias("circular"))
+    return focus_metrics(edges, file), near, counts
+
+
+def _reach(edges: DataFrame, max_steps: int) -> DataFrame:
+    """(node, fw, bw): the least node that reaches a node, and the least that it reaches, itself included.
+
+    A step takes the neighbours' labels, then the label of the label: what reaches the
+    node that reaches me reaches me too. So a chain is passed in steps of its logarithm.
+    """
+    out = keep(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().select("node", F.col("node").alias("fw"), F.col("node").alias("bw")))
     for _ in range(max_steps):
-        new = labels.join(edges, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(F.min("label").alias("new"))
-        step = labels.join(new, "node", "left").withColumn("moved", F.coalesce(F.col("new") < F.col("label"), F.lit(False)))
-        step = step.select("node", F.when(F.col("moved"), F.col("new")).otherwise(F.col("label")).alias("label"), "moved").checkpoint()
-        labels = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            return labels
+        ahead = edges.join(out.select(F.col("node").alias("source"), "fw"), "source").select(F.col("target").alias("node"), "fw", F.lit(None).alias("bw"))
+        back = edges.join(out.select(F.col("node").alias("target"), "bw"), "target").select(F.col("source").alias("node"), F.lit(None).alias("fw"), "bw")
+        told = ahead.unionByName(back).groupBy("node").agg(F.min("fw").alias("nf"), F.min("bw").alias("nb"))
+        near = out.join(told, "node", "left").select("node", F.least("fw", "nf").alias("fw"), F.least("bw", "nb").alias("bw"), F.col("fw").alias("of"), F.col("bw").alias("ob"))
+        near = near.join(out.select(F.col("node").alias("fw"), F.col("fw").alias("jf")), "fw").join(out.select(F.col("node").alias("bw"), F.col("bw").alias("jb")), "bw")
+        step = keep(near.select("node", F.least("fw", "jf").alias("fw"), F.least("bw", "jb").alias("bw"), "of", "ob"))
+        out = step.select("node", "fw", "bw")
+        if step.filter("fw < of or bw < ob").isEmpty():
+            return out
     raise RuntimeError("labels did not settle")
 
 
+def _groups(arrows: dict) -> list[list]:
+    """Strongly connected groups of a graph {node: targets}, depth first without recursion."""
+    order, low, on, stack, out = {}, {}, set(), [], []
+    for root in arrows:
+        if root in order:
+            continue
+        path = [(root, iter(arrows.get(root, ())))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        on.add(root)
+        while path:
+            node, targets = path[-1]
+            for t in targets:
+                if t not in order:
+                    order[t] = low[t] = len(order)
+                    stack.append(t)
+                    on.add(t)
+                    path.append((t, iter(arrows.get(t, ()))))
+                    break
+                if t in on:
+                    low[node] = min(low[node], order[t])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == order[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                    on.difference_update(group)
+                    out.append(group)
+    return out
+
+
+def _small_components(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def run(batches):
+        arrows: dict = {}
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                arrows.setdefault(a, []).append(b)
+        rows = [(n, min(g), len(g)) for g in _groups(arrows) if len(g) > 1 for n in g]
+        cols = list(zip(*rows)) or [(), (), ()]
+        ends = pa.string() if kind == "string" else pa.int64()
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (ends, ends, pa.int64()))], ["node", "component", "size"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}, size long")
+
+
 def strong_components(edges: DataFrame, max_steps: int = 1000) -> DataFrame:
     """(node, component, size) of strongly connected groups of more than one node.
 
-    Rounds of colouring: every node takes the least node that reaches it; within a
-    colour, what reaches the colour's own node backwards is its group. Found groups
-    go and the rest goes on. Needs a checkpoint folder (see plans.state).
+    A graph of at most SMALL counted edges is searched depth first by one task. Beyond
+    that it stays distributed: in a round every node takes the least node that reaches it and the least that it
+    reaches. Where they are the same one, it is the least of the node's group. Nodes of
+    one group agree in both, so only edges between nodes that do and are in no group yet
+    go on to the next round. Needs a checkpoint folder (see plans.state).
     """
-    left = edges.filter("source <> target").select("source", "target").distinct().checkpoint()
+    left = keep(edges.filter("source <> target").select("source", "target").distinct())
+    if left.count() <= SMALL and left.schema["source"].dataType.simpleString() in ("string", "bigint"):
+        return keep(_small_components(left))
     found = None
     for _ in range(max_steps):
-        nodes = left.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-        color = _spread_least(nodes.withColumn("label", F.col("node")), left, max_steps)
-        inside = left.join(color.select(F.col("node").alias("source"), F.col("label").alias("cs")), "source").join(color.select(F.col("node").alias("target"), F.col("label").alias("ct")), "target").filter("cs = ct")
-        # backwards from each colour's own node: 0 is reached, 1 is not
-        start = color.withColumn("label2", F.when(F.col("label") == F.col("node"), 0).otherwise(1)).select("node", F.col("label2").alias("label"))
-        back = _spread_least(start, inside.select(F.col("target").alias("source"), F.col("source").alias("target")).distinct().checkpoint(), max_steps)
-        done = back.filter("label = 0").select("node").join(color, "node").select("node", F.col("label").alias("component")).checkpoint()
+        labels = _reach(left, max_steps)
+        done = labels.filter("fw = bw").select("node", F.col("fw").alias("component"))
         found = done if found is None else found.union(done)
-        gone = done.select("node")
-        left = left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target").checkpoint()
+        open_ = labels.filter("fw <> bw")
+        ends = [open_.select(F.col("node").alias(end), F.col("fw").alias(f"f_{end}"), F.col("bw").alias(f"b_{end}")) for end in ("source", "target")]
+        left = keep(left.join(ends[0], "source").join(ends[1], "target").filter("f_source = f_target and b_source = b_target").select("source", "target"))
         if left.isEmpty():
             break
+    else:
+        raise RuntimeError("components did not settle")
     size = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
     return found.join(size, "component").select("node", "component", "size")
 
 
 def mark_circular(edges: DataFrame) -> DataFrame:
-    """edges with type circular and strength + 0.3, 1 at most, inside a strong component."""
+    """edges with type circular and strength + 0.3, 1 at most, inside a strong component; other columns stay."""
     c = strong_components(edges).select("node", "component")
     out = edges.join(c.select(F.col("node").alias("source"), F.col("component").alias("cs")), "source", "left").join(c.select(F.col("node").alias("target"), F.col("component").alias("ct")), "target", "left")
     inside = F.coalesce((F.col("cs") == F.col("ct")) & (F.col("source") != F.col("target")), F.lit(False))
-    return out.select("source", "target", F.when(inside, "circular").otherwise(F.col("type")).alias("type"), F.when(inside, F.least(F.lit(1.0), F.col("strength") + 0.3)).otherwise(F.col("strength")).alias("strength"))
+    out = out.withColumn("type", F.when(inside, "circular").otherwise(F.col("type"))).withColumn("strength", F.when(inside, F.least(F.lit(1.0), F.col("strength") + 0.3)).otherwise(F.col("strength")))
+    return out.select("source", "target", "type", "strength", *[x for x in edges.columns if x not in ("source", "target", "type", "strength")])
 
 
-def graph_stats(edges: DataFrame) -> DataFrame:
-    """One row: files, links, two-way pairs."""
+def graph_stats(edges: DataFrame, files: DataFrame | None = None, merged: bool = False) -> DataFrame:
+    """One row: files, links, two-way pairs, cycle groups.
+
+    ``files`` (path): all of them count, linked or not. ``merged`` counts the cycle
+    groups after both directions of a pair became one edge, so pairs alone are none.
+    """
     e = edges.filter("source <> target").select("source", "target").distinct()
     back = e.select(F.col("target").alias("source"), F.col("source").alias("target"))
     pairs = e.join(back, ["source", "target"]).filter("source < target").agg(F.count("*").alias("two_way"))
-    files = e.select(F.explode(F.array("source", "target")).alias("f")).agg(F.countDistinct("f").alias("files"), (F.count("*") / 2).cast("long").alias("links"))
-    return files.withColumn("k", F.lit(1)).join(pairs.withColumn("k", F.lit(1)), "k").drop("k")
+    groups = strong_components(merge_reverse(edges) if merged else e).agg(F.countDistinct("component").alias("cycle_groups"))
+    listed = e.select(F.explode(F.array("source", "target")).alias("f")) if files is None else files.select(F.col("path").alias("f"))
+    return listed.agg(F.countDistinct("f").alias("files")).join(e.agg(F.count("*").alias("links"))).join(pairs).join(groups)
 
 
 def directory_stats(files: DataFrame, n: int = 12) -> DataFrame:
-    """(dir, files, extensions) of the n fullest folders with two files or more."""
-    out = files.groupBy("dir").agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("extensions"))
-    return out.filter("files >= 2").orderBy(F.desc("files"), "dir").limit(n)
+    """(dir, files, extensions, purpose) of the n fullest folders with two files or more; extensions with their counts."""
+    each = files.groupBy("dir", "ext").agg(F.count("*").alias("c"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ext", "c"))), lambda x: F.concat_ws(":", x["ext"], x["c"].cast("string"))), ",")
+    out = each.groupBy("dir").agg(F.sum("c").alias("files"), listed.alias("extensions"))
+    return out.filter("files >= 2").orderBy(F.desc("files"), "dir").limit(n).withColumn("purpose", P.purpose(F.col("dir")))

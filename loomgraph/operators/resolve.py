@@ -64,3 +64,22 @@ def links(resolved: DataFrame) -> DataFrame:
     out = r.groupBy(F.col("path").alias("source"), "target").agg(
         F.max("s").alias("strength"), F.array_sort(F.collect_list(F.struct("ord", "symbols"))).alias("parts"), F.array_sort(F.collect_set("line_no")).alias("lines"))
     return out.select("source", "target", F.lit("import").alias("type"), "strength", F.array_distinct(F.flatten("parts.symbols")).alias("symbols"), "lines")
+
+
+def call_links(calls: DataFrame, files: DataFrame, qualified: bool = False) -> DataFrame:
+    """(source, target, type, strength, symbols, lines): call links, 0.6 and 0.1 more for each further call, 1 at most.
+
+    A bare callee names no module, so by itself it gives no link: without ``qualified``
+    there are none. With it a call ``x.y(...)`` links to the files named x that contain y.
+    Calls: path, line_no, callee, name.
+    """
+    c = calls.filter("is_external").withColumn("module", F.lower(F.element_at(F.split("name", r"\."), -2))).filter(F.lit(qualified))
+    index = file_index(files).filter("kind = 'base'").select(F.col("key").alias("module"), "target")
+    hits = c.join(index, "module").filter("path <> target").join(files.select(F.col("path").alias("target"), "content"), "target").filter(F.col("content").contains(F.col("callee")))
+    out = hits.groupBy(F.col("path").alias("source"), "target").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("callee")).alias("symbols"), F.array_sort(F.collect_set("line_no")).alias("lines"))
+    return out.select("source", "target", F.lit("call").alias("type"), F.round(F.least(F.lit(1.0), 0.6 + 0.1 * (F.col("n") - 1)), 6).alias("strength"), "symbols", "lines")
+
+
+def in_order(links: DataFrame) -> DataFrame:
+    """Links by source, target and type in the order of a dictionary (upper and lower case side by side)."""
+    return links.orderBy(*[F.collate(F.col(c), "UNICODE") for c in ("source", "target", "type")])

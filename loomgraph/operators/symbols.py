@@ -5,9 +5,10 @@ from __future__ import annotations
 import ast
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from .extract import trim
 
 SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -165,11 +166,48 @@ def data_models(files: DataFrame) -> DataFrame:
 VERBS = ("get", "set", "create", "delete", "update", "is", "has", "handle", "process", "validate")
 
 
+#: Definitions by language; each is looked for in every file, so a method can count twice.
+_FUNCTIONS = (
+    r"def\s+(\w+)\s*\(", r"function\s+(\w+)\s*\(", r"const\s+(\w+)\s*=\s*(?:async\s+)?\(",
+    r"(?:public|protected|private)\s+(?:static\s+)?\w+\s+(\w+)\s*\(",
+    r"(?:public|protected|private|internal)\s+(?:static\s+)?(?:async\s+)?\w+\s+(\w+)\s*\(")
+
+
 def function_naming(files: DataFrame, sample: int | None = 50) -> DataFrame:
-    """(verb, n, example): verbs that begin function names in the first ``sample`` files (a report's limit; None: all)."""
+    """(verb, n, example): verbs that begin function names in the first ``sample`` files (a report's limit; None: all).
+
+    The verb is followed by _ or a capital; the example is the first one of the first file.
+    """
     head = files.select("path", "content") if sample is None else files.select("path", "content").orderBy("path").limit(sample)
-    names = F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in (
-        r"\bdef\s+(\w+)", r"\bfunction\s+(\w+)", r"\b(?:public|private|protected)\s+[\w<>]+\s+(\w+)\s*\(", r"\bfunc\s+(\w+)")])
-    verb = F.regexp_extract("name", rf"^({'|'.join(VERBS)})(?:_|[A-Z])", 1)
-    out = head.select("path", F.explode(names).alias("name")).withColumn("verb", verb).filter("verb <> ''")
-    return out.groupBy("verb").agg(F.count("*").alias("n"), F.min("name").alias("example"))
+
+    def named(k: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), x.alias("name")))
+
+    found = F.concat(*[named(k, p) for k, p in enumerate(_FUNCTIONS)])
+    verb = F.regexp_extract("f.name", rf"^({'|'.join(VERBS)})(?:_|[A-Z])", 1)
+    out = head.select("path", F.explode(found).alias("f")).withColumn("verb", verb).filter("verb <> ''")
+    return out.groupBy("verb").agg(F.count("*").alias("n"), F.min_by("f.name", F.struct("path", "f.k", "f.i")).alias("example"))
+
+
+def model_group(family: Column) -> Column:
+    """The group of a report that a model of a family is listed in."""
+    return F.when(family == "orm", "orm").when(family.isin("dataclass", "validated"), "dataclass").when(family.isin("interface", "type"), "interface").otherwise("other")
+
+
+def callers(symbols: DataFrame, links: DataFrame, files: DataFrame, most: int = 5) -> DataFrame:
+    """(path, name, used_in): the application files that import a symbol's file, short paths, and how many more.
+
+    An import link may use any symbol; one that became circular only those it names, all
+    where it names none or a star. Links: source, target, type, symbols.
+    """
+    app = files.filter("file_class = 'app'").select(F.col("path").alias("source"), "rel")
+    into = links.filter("source <> target").join(app, "source").select(F.col("target").alias("path"), "rel", "type", "symbols")
+    may = (F.col("type") == "import") | F.array_contains("symbols", F.col("name")) | F.array_contains("symbols", "*") | (F.size("symbols") == 0)
+    hits = symbols.select("path", "name").distinct().join(into, "path").filter(may).select("path", "name", "rel").distinct()
+    w = Window.partitionBy("path", "name")
+    top = hits.withColumn("i", F.row_number().over(w.orderBy("rel"))).filter(F.col("i") <= most)
+    shown = top.groupBy("path", "name").agg(F.transform(F.array_sort(F.collect_list("rel")), P.short_path).alias("used_in"))
+    more = hits.groupBy("path", "name").agg((F.count("*") - most).alias("more"))
+    out = shown.join(more, ["path", "name"])
+    rest = F.array(F.concat(F.lit("(+"), F.col("more").cast("string"), F.lit(" more)")))
+    return out.select("path", "name", F.when(F.col("more") > 0, F.concat("used_in", rest)).otherwise(F.col("used_in")).alias("used_in"))

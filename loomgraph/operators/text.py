@@ -59,3 +59,19 @@ def is_stale(current: DataFrame, folder: str) -> bool:
             raise
         kept = None
     return kept is None or kept.version != VERSION or kept.fingerprint != current.first().fingerprint
+
+
+START, END = "<!-- loomgraph:start -->", "<!-- loomgraph:end -->"
+
+
+def merge_section(text: Column, section: Column, start: str = START, end: str = END) -> Column:
+    """text with what stands between the markers replaced; a section of its own at the end where there are none."""
+    at, to = F.instr(text, start), F.instr(text, end)
+    inside = F.concat(F.substring(text, 1, at - 1 + len(start)), F.lit("\n"), section, F.lit("\n"), F.substr(text, to))
+    gap = F.when(F.regexp_replace(text, r"\s", "") != "", "\n\n").otherwise("")
+    return F.when((at > 0) & (to > at), inside).otherwise(F.concat(text, gap, F.lit(start + "\n"), section, F.lit("\n" + end + "\n")))
+
+
+def remove_section(text: Column, start: str = START, end: str = END) -> Column:
+    """text without the markers, what is between them, the line ends after them and one before them."""
+    return F.regexp_replace(text, rf"(?s)[\r\n]?{start}.*?{end}[\r\n]*", "")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..sources.scan import with_parts
 
@@ -47,3 +48,18 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_parts(view(spark, sf_dir, CODE_FILES, "part"), "/w")
+
+
+def user_next(events: DataFrame) -> DataFrame:
+    """EDGES_USER_NEXT without one task that sorts all events.
+
+    Each minute's events are ordered by a task; the first of a minute follows the last of
+    the minute before it that has any, which is found among one row for each minute.
+    """
+    e = events.filter("ts is not null").select(F.date_trunc("minute", "ts").alias("minute"), "ts", "event_id", "user_id")
+    last = e.groupBy("minute").agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("last"))
+    before = last.select("minute", F.lag("last").over(Window.orderBy("minute")).alias("before"))
+    own = F.lag(F.struct("user_id")).over(Window.partitionBy("minute").orderBy("ts", "event_id"))
+    out = e.withColumn("own", own).join(before, "minute")
+    out = out.select(F.when(F.col("own").isNull(), F.col("before")).otherwise(F.col("own.user_id")).alias("source"), F.col("user_id").alias("target"))
+    return out.filter("source <> target").select("source", "target", F.lit("import").alias("type"), F.lit(0.75).alias("strength")).distinct()

@@ -41,7 +41,7 @@ def test_data_models(spark):
 
 def test_clusters(spark):
     e = spark.createDataFrame([(s, t) for s in ("/w/i1.py", "/w/i2.py", "/w/i3.py") for t in ("/w/auth/a.py", "/w/auth/b.py", "/w/auth/config.py")], "source string, target string")
-    assert [tuple(r) for r in chains.module_clusters(e).collect()] == [("Auth", ["/w/auth/a.py", "/w/auth/b.py"], 6)]
+    assert [(r.name, r.files, r.score) for r in chains.module_clusters(e).collect()] == [("Auth", ["/w/auth/a.py", "/w/auth/b.py"], 6)]
     assert chains.module_clusters(e.limit(0)).count() == 0
 
 
