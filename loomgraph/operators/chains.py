@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..plans.state import keep
 from .graph import between, co_import_pairs, structural
 
 
@@ -31,12 +32,12 @@ def dependency_chains(edges: DataFrame, entries: DataFrame | None = None, n: int
     in-degree. Fewer than three chains are filled from five further sources, four
     modules at most. An entry counts ten, each module one.
     """
-    e = edges.filter("source <> target").select("source", "target").distinct()
+    e = keep(edges.filter("source <> target").select("source", "target").distinct())
     top = e.groupBy(F.col("target").alias("start")).agg(F.count("*").alias("d")).orderBy(F.desc("d"), "start").limit(8).select("start", F.lit(1).alias("tier"), (-F.col("d")).alias("d"))
     if entries is not None:
         top = entries.select("start", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("d")).distinct().orderBy("start").limit(10).unionByName(top)
-    top = top.groupBy("start").agg(F.min(F.struct("tier", "d")).alias("o")).orderBy("o", "start").limit(10).select("start", (F.col("o.tier") == 0).alias("entry"))
-    out = walk(e, top, 4).filter(F.size("chain") >= 3).join(top, "start")
+    top = keep(top.groupBy("start").agg(F.min(F.struct("tier", "d")).alias("o")).orderBy("o", "start").limit(10).select("start", (F.col("o.tier") == 0).alias("entry")))
+    out = keep(walk(e, top, 4).filter(F.size("chain") >= 3).join(top, "start"))
     if out.count() < 3:
         more = e.select(F.col("source").alias("start")).distinct().join(top, "start", "left_anti").orderBy("start").limit(5)
         out = out.unionByName(walk(e, more, 3).filter(F.size("chain") >= 3).withColumn("entry", F.lit(False)))
@@ -136,7 +137,7 @@ def module_clusters(edges: DataFrame, n: int = 7, rel: Column | None = None) ->
     """
     named = F.col("f").cast("string") if rel is None else rel
     e = edges.filter("source <> target").select("source", "target").distinct()
-    pairs = co_import_pairs(e)
+    pairs = keep(co_import_pairs(e))
     total = pairs.groupBy(F.col("a").alias("seed")).agg(F.sum("shared").alias("total"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
     near = pairs.withColumn("r", rank).filter("r <= 7").join(total, F.col("a") == F.col("seed"))
@@ -144,7 +145,8 @@ def module_clusters(edges: DataFrame, n: int = 7, rel: Column | None = None) ->
     near = near.select("seed", "total", F.col("b").alias("other"), "shared", "r")
     near = label(label(near, "seed"), "other")
     near = near.withColumn("seed_tool", P.is_tooling(F.col("seed"))).withColumn("other_tool", P.is_tooling(F.col("other")))
-    ordered = near.select("seed", "seed_tool", "total", "other", "other_tool", "shared", "r").orderBy(F.desc("total"), "seed", "r")
+    # written first: a global sort reads its input twice
+    ordered = keep(near.select("seed", "seed_tool", "total", "other", "other_tool", "shared", "r")).orderBy(F.desc("total"), "seed", "r")
     found = ordered.coalesce(1).mapInArrow(_greedy(n, 8), _CLUSTER_DDL)
     rows = found.collect()  # n clusters; with fewer than three, what they used
     clusters = sorted(((r["name"], r["files"], r["members"], r["score"], r["seed"]) for r in rows if r["used"] is None), key=lambda c: (-c[3], c[0]))
