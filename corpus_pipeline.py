@@ -10,6 +10,14 @@ of ``documents``:
 4. mixing: sources in their target weights, a row for each copy that is taken;
 5. tokens: ids as little-endian unsigned 32-bit integers, their number, and digests of
    the ids and of the decoded bytes.
+
+Every stage takes whole texts of any length and gives an empty table for an empty one.
+A null text is scored, compared and encoded as an empty one and stays null until the
+last stage; an empty one links with nothing and stays in the mix once. Rows with a null
+id are treated as others but are nobody's near duplicates. Rows that repeat an id and text stay or go together; where
+documents tie, the smallest id stays and keys go by id, size and a hash of the text. A
+null source is one of its own. Columns beyond those of ``documents`` are kept as they
+are by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
