@@ -85,6 +85,10 @@ def test_stages(spark, stage, tmp_path):
         assert stage == "tokens" or out.columns == docs.columns
         if stage in ("quality", "secrets", "tokens"):
             assert len(got) == len(rows)
+    extra = wide(spark, ROWS, DOC)  # columns with the names of the operators' own
+    out = dict(corpus_pipeline.STAGES)[stage](spark, extra, str(tmp_path))
+    got = out.collect()
+    assert got and (stage == "tokens" or out.columns == extra.columns and all(r[c] == c for r in got for c in CLASH if c in extra.columns and c not in docs.columns))
 
 
 # --- queries against plain Python -------------------------------------------
