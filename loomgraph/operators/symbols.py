@@ -14,54 +14,110 @@ from .extract import trim
 SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 SCHEMA = "path string, name string, kind string, signature string, inherits string, exported boolean, ord long"
 
-# extensions, kind, pattern (1: name, 2: parameters or base), exported
+# what a parameter list holds: brackets may stand in it once more
+_ARGS = r"\(([^()]*+(?:\([^()]*+\)[^()]*+)*+)"
+_NOTES = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:\[\w[^\]]*\]\s*)*"
+_MODIFIER = r"(?:(?:public|protected|private|internal|static|final|abstract|sealed|non-sealed|strictfp|partial|readonly|ref|async|virtual|override|new|required|extern|unsafe|synchronized|default|native)\s+)"
+_TYPE = r"[\w.]+(?:<[^({;=]*>)?[\[\],?]*"
+_BASE = r"(?:<[^>]*>)?(?:\s+extends\s+([\w.]+))?"
+_COLON = r"(?:<[^>]*>)?(?:\s*:\s*([\w.]+))?"
+
+# extensions, kind, pattern (1: name, 2: parameters, base or a property's type)
 _RULES = (
-    ((".py",), "function", r"^(?:async\s+)?def\s+([A-Za-z]\w*)\s*\(([^)]*)", True),
-    ((".py",), "method", r"^\s+(?:async\s+)?def\s+(__init__|[A-Za-z]\w*)\s*\(([^)]*)", True),
-    ((".py",), "class", r"^class\s+(\w+)(?:\(\s*([\w.]*))?", True),
-    (SCRIPT, "function", r"^export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)[^(]*\(([^)]*)", True),
-    (SCRIPT, "class", r"^export\s+(?:default\s+)?(?:abstract\s+)?class\s+(\w+)(?:<[^>]*>)?(?:\s+extends\s+([\w.]+))?", True),
-    (SCRIPT, "interface", r"^export\s+interface\s+(\w+)(?:<[^>]*>)?(?:\s+extends\s+([\w.]+))?", True),
-    (SCRIPT, "type", r"^export\s+type\s+(\w+)()", True),
-    (SCRIPT, "const", r"^export\s+const\s+(\w+)()", True),
-    ((".java",), "class", r"^\s*(?:public\s+)?(?:abstract\s+|final\s+)*class\s+(\w+)(?:<[^>]*>)?(?:\s+extends\s+([\w.]+))?", True),
-    ((".java",), "interface", r"^\s*(?:public\s+)?interface\s+(\w+)()", True),
-    ((".java", ".cs"), "enum", r"^\s*(?:public\s+|internal\s+)?enum\s+(\w+)()", True),
-    ((".java", ".cs"), "record", r"^\s*(?:public\s+|internal\s+)?(?:sealed\s+)?record\s+(?:struct\s+|class\s+)?(\w+)\s*\(?([^)]*)", True),
-    ((".cs",), "class", r"^\s*(?:(?:public|internal|abstract|sealed|static|partial)\s+)*class\s+(\w+)(?:<[^>]*>)?(?:\s*:\s*([\w.]+))?", True),
-    ((".cs",), "interface", r"^\s*(?:(?:public|internal|partial)\s+)*interface\s+(\w+)()", True),
-    ((".cs",), "struct", r"^\s*(?:(?:public|internal|readonly|partial)\s+)*struct\s+(\w+)()", True),
-    ((".java", ".cs"), "method", r"^\s+(?:public|protected|internal)\s+(?:static\s+|final\s+|async\s+|virtual\s+|override\s+)*[\w<>\[\],.?]+\s+(\w+)\s*\(([^)]*)", True),
-    ((".go",), "function", r"^func\s+(?:\([^)]*\)\s*)?([A-Z]\w*)\s*\(([^)]*)", True),
+    ((".py",), "function", r"^(?:async\s+)?def\s+([A-Za-z]\w*)\s*\(([^)]*)"),
+    ((".py",), "method", r"^\s+(?:async\s+)?def\s+(__init__|[A-Za-z]\w*)\s*\(([^)]*)"),
+    ((".py",), "class", r"^class\s+(\w+)(?:\(\s*([\w.]*))?"),
+    (SCRIPT, "function", r"^export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)[^(]*" + _ARGS),
+    (SCRIPT, "class", r"^export\s+(?:default\s+)?(?:abstract\s+)?class\s+(\w+)" + _BASE),
+    (SCRIPT, "interface", r"^export\s+interface\s+(\w+)" + _BASE),
+    (SCRIPT, "type", r"^export\s+type\s+(\w+)()"),
+    (SCRIPT, "const", r"^export\s+(?:const|let)\s+(?!enum\b)(\w+)()"),
+    ((".java",), "class", rf"{_NOTES}{_MODIFIER}*class\s+(\w+)" + _BASE),
+    ((".java",), "interface", rf"{_NOTES}{_MODIFIER}*interface\s+(\w+)" + _BASE),
+    ((".java", ".cs"), "enum", rf"{_NOTES}{_MODIFIER}*enum\s+(\w+)()"),
+    ((".java", ".cs"), "record", rf"{_NOTES}{_MODIFIER}*record\s+(?:struct\s+|class\s+)?(\w+)(?:<[^>]*>)?\s*(?:{_ARGS})?"),
+    ((".cs",), "class", rf"{_NOTES}{_MODIFIER}*class\s+(\w+)" + _COLON),
+    ((".cs",), "interface", rf"{_NOTES}{_MODIFIER}*interface\s+(\w+)" + _COLON),
+    ((".cs",), "struct", rf"{_NOTES}{_MODIFIER}*struct\s+(\w+)()"),
+    ((".java", ".cs"), "method", rf"(?=\s){_NOTES}(?=[^(=;]*\b(?:public|protected|internal)\s){_MODIFIER}+(?:<[^>]*>\s+)?{_TYPE}\s+([A-Za-z]\w*)(?:<[^>]*>)?\s*{_ARGS}"),
+    ((".cs",), "property", rf"(?=\s){_NOTES}(?=[^({{=;]*\b(?:public|internal)\s){_MODIFIER}+(?={_TYPE}\s+(\w+))({_TYPE})\s+\w+\s*(?:\{{|=>)"),
+    ((".go",), "function", r"^func\s+(?:\([^)]*\)\s*)?([A-Z]\w*)\s*\(([^)]*)"),
 )
+#: A const that is an arrow function: its parameters, or the one that needs no brackets.
+_ARROW = rf"^export\s+(?:const|let)\s+\w+(?:\s*:[^\n;]*?)?\s*=(?!>)\s*(?:async\b\s*)?(?:<[^>]*>\s*)?(?:{_ARGS}\)[^=]*=>|(\w+)\s*=>)"
+#: Lines that a parameter list may take, its first included.
+LIST_LINES = 40
+
+
+def _flat(text: Column) -> Column:
+    """A script's parameters with a mark for what is destructured and without types' brackets."""
+    text = F.replace(F.regexp_replace(text, r"//[^\n]*|/\*[^*]*\*/", ""), F.lit("=>"), F.lit(" "))
+    inner = r"[^()\[\]{}<>]*"
+    for _ in range(4):
+        text = F.regexp_replace(F.regexp_replace(text, rf"\({inner}\)|<{inner}>", ""), rf"\{{{inner}\}}|\[{inner}\]", "\u0001")
+    return text
+
+
+def _plain(text: Column) -> Column:
+    """Parameters without notes and what types are made of."""
+    text = F.regexp_replace(text, r"@\w+(?:\([^()]*\))?\s+|\[\w[^\]]*\]\s*", "")
+    for _ in range(3):
+        text = F.regexp_replace(text, r"<[^<>]*>", "")
+    return text
 
 
 def _params(text: Column, most: int) -> Column:
-    """(a, b, c) of a parameter list: bare names without self and cls; ... beyond ``most``."""
-    each = F.filter(F.transform(F.split(text, ","), lambda x: trim(F.regexp_replace(x, r"[=].*", ""))), lambda x: (x != "") & ~x.isin("self", "cls") & ~x.startswith("*"))
-    each = F.transform(each, lambda x: trim(F.regexp_replace(x, r":.*", "")))
+    """(a, b, c) of a parameter list: bare names without self, cls and this; a destructured one is ...; ... beyond ``most``."""
+    each = F.filter(F.transform(F.split(text, ","), lambda x: trim(F.regexp_replace(x, r"(?s)[=].*", ""))), lambda x: (x != "") & ~x.isin("self", "cls") & ~x.startswith("*"))
+    each = F.transform(each, lambda x: trim(F.regexp_replace(F.regexp_replace(x, r"(?s)\??\s*:.*|\?$", ""), r"\s+", " ")))
+    each = F.transform(F.filter(each, lambda x: x != "this"), lambda x: F.when(x.startswith("\u0001"), "...").otherwise(x))
     return F.concat(F.lit("("), F.array_join(F.slice(each, 1, most), ", "), F.when(F.size(each) > most, ", ...").otherwise(""), F.lit(")"))
 
 
+def _unclosed(line: Column) -> Column:
+    """More brackets are opened in the line than closed."""
+    without = lambda b: F.length(F.replace(line, F.lit(b), F.lit("")))
+    return without("(") < without(")")
+
+
 def regex_symbols(files: DataFrame, most: int = 3) -> DataFrame:
     """(path, name, kind, signature, inherits, exported, ord) by one pattern a line; ord is the line.
 
-    A script's const is an arrow function when its own line or the next one has an
-    arrow. Null content has no symbols; a repeated definition is repeated.
+    A parameter list may go on for LIST_LINES lines, a property's brace and an arrow may
+    stand on the next one. Scripts, Java and C# show one parameter more than ``most``, as
+    a syntax tree's symbols do. Null content has no symbols; a repeated definition is repeated.
     """
-    rows = files.select("path", "ext", F.split("content", "\n").alias("l")).select("path", "ext", F.posexplode(F.transform("l", lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get("l", i + 1), F.lit("")).alias("next")))).alias("at", "x"))
-    rows = rows.select("path", "ext", (F.col("at") + 1).cast("long").alias("line_no"), "x.line", "x.next")
-    t, out = F.col("line"), None
-    for exts, kind, pattern, exported in _RULES:
-        second = F.regexp_extract(t, pattern, 2)
-        calls = kind in ("function", "method", "record")
-        sign = _params(second, most) if calls else F.lit(None).cast("string")
-        if kind == "const":
-            both = F.concat(t, F.lit("\n"), F.col("next"))
-            sign = F.when(both.contains("=>"), _params(F.regexp_extract(both, r"\(([^)]*)\)[^=\n]*\n?[^=\n]*=>", 1), most))
-        base = F.lit(None).cast("string") if calls or kind == "const" else F.nullif(second, F.lit(""))
-        hit = F.struct(F.regexp_extract(t, pattern, 1).alias("name"), F.lit(kind).alias("kind"), sign.alias("signature"), base.alias("inherits"), F.lit(exported).alias("exported"))
-        on = F.col("ext").isin(*exts) & t.rlike(pattern)
+    def around(x: Column, i: Column) -> Column:
+        more = F.when(_unclosed(x), F.array_join(F.slice("l", i + 1, LIST_LINES), "\n")).otherwise(F.concat_ws("\n", x, F.get("l", i + 1)))
+        return F.struct(x.alias("line"), more.alias("more"))
+
+    rows = files.select("path", "ext", F.split("content", "\n").alias("l")).select("path", "ext", F.posexplode(F.transform("l", around)).alias("at", "x"))
+    rows = rows.select("path", "ext", (F.col("at") + 1).cast("long").alias("line_no"), "x.line", "x.more")
+    t, more, out = F.col("line"), F.col("more"), None
+    for exts, kind, pattern in _RULES:
+        where = more if kind == "property" else t
+        second = F.regexp_extract(where, pattern, 2)
+        calls, listed = kind in ("function", "method", "record"), F.regexp_extract(F.when(_unclosed(t), more).otherwise(t), pattern, 2)
+        none = F.lit(None).cast("string")
+        if exts is SCRIPT and kind == "const":
+            args = F.concat(_flat(F.regexp_extract(more, _ARROW, 1)), F.regexp_extract(more, _ARROW, 2))
+            sign = F.when(more.rlike(_ARROW), _params(args, most + 1))
+        elif kind == "property":
+            sign = F.concat(F.lit(": "), second)
+        elif not calls:
+            sign = none
+        elif exts is SCRIPT:
+            sign = _params(_flat(listed), most + 1)
+        elif exts[0] in (".java", ".cs"):
+            sign = _params(_plain(listed), most + 1)
+        else:
+            sign = _params(listed, most)
+        base = none if calls or kind in ("const", "property") else F.nullif(second, F.lit(""))
+        seen = F.lit(True)
+        if exts[0] in (".java", ".cs") and kind not in ("method", "property"):
+            seen = t.rlike(rf"{_NOTES}{_MODIFIER}*public\s") | ((F.col("ext") == ".cs") & t.rlike(rf"{_NOTES}{_MODIFIER}*internal\s"))
+        hit = F.struct(F.regexp_extract(where, pattern, 1).alias("name"), F.lit(kind).alias("kind"), sign.alias("signature"), base.alias("inherits"), seen.alias("exported"))
+        on = F.col("ext").isin(*exts) & where.rlike(pattern)
         out = F.when(on, hit) if out is None else out.when(on, hit)
     found = rows.select("path", "line_no", F.explode(F.filter(F.array(out), lambda x: x.isNotNull())).alias("s"))
     return found.select("path", "s.*", F.col("line_no").alias("ord"))

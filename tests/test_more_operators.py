@@ -30,6 +30,30 @@ def test_script_symbols(spark):
     assert got == {("f", "const", "(a, b)", None), ("g", "const", "(x)", None), ("n", "const", None, None), ("K", "class", None, "Base"), ("T", "type", None, None)}
 
 
+def test_script_parameters(spark):
+    f = workspace(spark, {"/w/a.ts": "export function f({ a, b: { c } }: P, [d]: Q = [], e?: number, ...rest: R[]) {}\nexport async function g(\n  a: Map<string, number>, // first\n  cb: (x: number, y: number) => void,\n) {}\n"
+                                     "export const h = async ({ a }, b = 1) => a\nexport const one = x => x\nexport const typed: (a: A) => B = (a) => a\nexport const n = list.map((x) => x)\nexport let m = 1\n"
+                                     "export function many(this: W, a, b, c, d, e) {}"})
+    got = {(r.name, r.kind, r.signature, r.ord) for r in symbols.symbols(f).collect()}
+    assert got == {
+        ("f", "function", "(..., ..., e, ...rest)", 1), ("g", "function", "(a, cb)", 2), ("h", "const", "(..., b)", 6), ("one", "const", "(x)", 7),
+        ("typed", "const", "(a)", 8), ("n", "const", None, 9), ("m", "const", None, 10), ("many", "function", "(a, b, c, d, ...)", 11)}
+
+
+def test_java_and_cs_members(spark):
+    f = workspace(spark, {
+        "/w/A.java": "@Foo(\"x\") public abstract class A<T> extends B {\n  @Override public static <T> Map<String, T> go(@In(\"a\") Map<String, T> m,\n      int... n) {\n    return run(m);\n  }\n"
+                     "  private void no() {}\n  public A(int x) {}\n  protected byte[] raw() { return null; }\n  private static class In {}\n}\ninterface I extends J {}",
+        "/w/C.cs": "internal sealed class C : Base, IFoo\n{\n    public required Dictionary<string, int> Map { get; set; }\n    protected int Hidden { get; }\n    public int Field = 1;\n    public string Name => x.Name;\n"
+                   "    protected internal static int Count\n    {\n        get;\n    }\n    [HttpGet(\"a\")] public async Task<List<int>> Go<T>([FromBody] Req r, int n = 1) {\n    }\n    private int no() { return 1; }\n}\npublic interface II : IBase {}"})
+    got = {(r.path[3:], r.name, r.kind, r.signature, r.inherits, r.exported, r.ord) for r in symbols.symbols(f).collect()}
+    assert got == {
+        ("A.java", "A", "class", None, "B", True, 1), ("A.java", "go", "method", "(Map m, int... n)", None, True, 2), ("A.java", "raw", "method", "()", None, True, 8),
+        ("A.java", "In", "class", None, None, False, 9), ("A.java", "I", "interface", None, "J", False, 11),
+        ("C.cs", "C", "class", None, "Base", True, 1), ("C.cs", "Map", "property", ": Dictionary<string, int>", None, True, 3), ("C.cs", "Name", "property", ": string", None, True, 6),
+        ("C.cs", "Count", "property", ": int", None, True, 7), ("C.cs", "Go", "method", "(Req r, int n)", None, True, 11), ("C.cs", "II", "interface", None, "IBase", True, 15)}
+
+
 def test_data_models(spark):
     f = workspace(spark, {
         "/w/m.py": "class U(models.Model):\n    name = 1\n    age = 2\n    c = 3\n    d = 4\nclass Plain: pass", "/w/e.ts": "@Entity()\nexport class E {\n  id: number;\n}",
