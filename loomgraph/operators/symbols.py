@@ -88,39 +88,34 @@ def regex_symbols(files: DataFrame, most: int = 3) -> DataFrame:
     a syntax tree's symbols do. Null content has no symbols; a repeated definition is repeated.
     """
     def around(x: Column, i: Column) -> Column:
-        more = F.when(_unclosed(x), F.array_join(F.slice("l", i + 1, LIST_LINES), "\n")).otherwise(F.concat_ws("\n", x, F.get("l", i + 1)))
-        return F.struct(x.alias("line"), more.alias("more"))
+        rest = F.when(x.contains("(") & _unclosed(x), F.array_join(F.slice("l", i + 1, LIST_LINES), "\n"))
+        return F.struct(x.alias("line"), F.get("l", i + 1).alias("next"), rest.alias("rest"))
 
     rows = files.select("path", "ext", F.split("content", "\n").alias("l")).select("path", "ext", F.posexplode(F.transform("l", around)).alias("at", "x"))
-    rows = rows.select("path", "ext", (F.col("at") + 1).cast("long").alias("line_no"), "x.line", "x.more")
-    t, more, out = F.col("line"), F.col("more"), None
+    rows = rows.select("path", "ext", (F.col("at") + 1).cast("long").alias("line_no"), "x.line", "x.next", "x.rest")
+    t, out, none = F.col("line"), None, F.lit(None).cast("string")
+    more = F.coalesce("rest", F.concat_ws("\n", "line", "next"))
     for exts, kind, pattern in _RULES:
         where = more if kind == "property" else t
         second = F.regexp_extract(where, pattern, 2)
-        calls, listed = kind in ("function", "method", "record"), F.regexp_extract(F.when(_unclosed(t), more).otherwise(t), pattern, 2)
-        none = F.lit(None).cast("string")
-        if exts is SCRIPT and kind == "const":
-            args = F.concat(_flat(F.regexp_extract(more, _ARROW, 1)), F.regexp_extract(more, _ARROW, 2))
-            sign = F.when(more.rlike(_ARROW), _params(args, most + 1))
-        elif kind == "property":
-            sign = F.concat(F.lit(": "), second)
-        elif not calls:
-            sign = none
-        elif exts is SCRIPT:
-            sign = _params(_flat(listed), most + 1)
-        elif exts[0] in (".java", ".cs"):
-            sign = _params(_plain(listed), most + 1)
-        else:
-            sign = _params(listed, most)
-        base = none if calls or kind in ("const", "property") else F.nullif(second, F.lit(""))
+        args, base = none, none
+        if kind in ("function", "method", "record"):
+            args = F.regexp_extract(F.coalesce("rest", "line"), pattern, 2)
+        elif kind == "const":
+            args = F.when(more.rlike(_ARROW), F.concat(F.regexp_extract(more, _ARROW, 1), F.regexp_extract(more, _ARROW, 2)))
+        else:  # a property's type is its base until it is shown
+            base = F.nullif(second, F.lit(""))
         seen = F.lit(True)
         if exts[0] in (".java", ".cs") and kind not in ("method", "property"):
             seen = t.rlike(rf"{_NOTES}{_MODIFIER}*public\s") | ((F.col("ext") == ".cs") & t.rlike(rf"{_NOTES}{_MODIFIER}*internal\s"))
-        hit = F.struct(F.regexp_extract(where, pattern, 1).alias("name"), F.lit(kind).alias("kind"), sign.alias("signature"), base.alias("inherits"), seen.alias("exported"))
+        hit = F.struct(F.regexp_extract(where, pattern, 1).alias("name"), F.lit(kind).alias("kind"), args.alias("args"), base.alias("base"), seen.alias("exported"))
         on = F.col("ext").isin(*exts) & where.rlike(pattern)
         out = F.when(on, hit) if out is None else out.when(on, hit)
-    found = rows.select("path", "line_no", F.explode(F.filter(F.array(out), lambda x: x.isNotNull())).alias("s"))
-    return found.select("path", "s.*", F.col("line_no").alias("ord"))
+    found = rows.select("path", "ext", "line_no", F.explode(F.filter(F.array(out), lambda x: x.isNotNull())).alias("s")).select("path", "ext", "line_no", "s.*")
+    script, typed, own = F.col("ext").isin(*SCRIPT), F.col("ext").isin(".java", ".cs"), F.col("kind") == "property"
+    listed = F.when(script, _params(_flat(F.col("args")), most + 1)).when(typed, _params(_plain(F.col("args")), most + 1)).otherwise(_params(F.col("args"), most))
+    sign = F.when(own, F.concat(F.lit(": "), "base")).when(F.col("args").isNotNull(), listed)
+    return found.select("path", "name", "kind", sign.alias("signature"), F.when(~own, F.col("base")).alias("inherits"), "exported", F.col("line_no").alias("ord"))
 
 
 def _python_symbols(path: str, text: str, most: int):
