@@ -46,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="loomgraph-"))
+        if app not in _own_dir:
+            _own_dir[app] = tempfile.mkdtemp(prefix="loomgraph-")
+        base = _own_dir[app]
     return base.rstrip("/")
 
 
