@@ -3,6 +3,10 @@
 import pytest
 
 from loomgraph import catalog
+from loomgraph.operators import extract, graph, resolve, rules
+from loomgraph.operators.conventions import symbol_index
+from loomgraph.plans import bindings
+from loomgraph.plans.state import ensure_checkpoints
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,6 +16,19 @@ def sent_whole(df) -> bool:
     return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["links"])
+@pytest.mark.parametrize("name", ["links", "symbol_index"])
 def test_queries_over_links(spark, name):
     assert not sent_whole(catalog.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("part", ["between", "degrees", "hubs", "hub_risk", "centrality", "blast_radius", "co_import_pairs", "mark_circular", "symbol_index", "call_links"])
+def test_parts_of_reports(spark, part):
+    ensure_checkpoints(spark)
+    files = bindings.source_files(spark, SF)
+    links = spark.createDataFrame([("/w/app/mod35.py", "/w/app/mod70.py", "import", 0.75, ["a"])], "source string, target string, type string, strength double, symbols array<string>")
+    made = {
+        "between": lambda: graph.between(links, files, graph.app()), "degrees": lambda: graph.degrees(links, files), "hubs": lambda: graph.hubs(links, 12, files),
+        "hub_risk": lambda: graph.hub_risk(links, files), "centrality": lambda: graph.centrality(links, 8, files), "blast_radius": lambda: graph.blast_radius(links),
+        "co_import_pairs": lambda: graph.co_import_pairs(links), "mark_circular": lambda: graph.mark_circular(links),
+        "symbol_index": lambda: symbol_index(files, links, rules.integrations(files)), "call_links": lambda: resolve.call_links(extract.calls(files), files, True)}
+    assert not sent_whole(made[part]())
