@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -337,6 +338,19 @@ def test_quality_against_plain_python(spark):
         assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == (r.score >= 0.3)
 
 
+@pytest.mark.parametrize("bad", [3, 40, 150])
+def test_quality_learns_from_all_labels(spark, monkeypatch, bad):
+    texts = [(i, ("a word and %d more of them. " % i) * (1 + i % 7) if i >= bad else "!! ## %d || " % i * (2 + i % 5)) for i in range(400)]
+    docs, labels = spark.createDataFrame(texts, DOC), spark.createDataFrame([(i, int(i >= bad)) for i in range(400)], "doc_id long, quality int")
+    rows = [(op3_quality.text_features(t), int(i >= bad)) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    alone = op3_quality.fit_quality(docs, labels)
+    monkeypatch.setattr(op3_quality, "GROUP_ROWS", 50)
+    w, threshold = op3_quality.fit_quality(docs, labels)
+    assert threshold == pytest.approx(np.quantile(x @ w, (y == 0).mean()), abs=1e-9)
+    assert ((x @ w >= threshold) == (x @ alone[0] >= alone[1])).mean() > 0.97
+
+
 def test_quality_of_repeated_documents(spark):
     """A repeated id teaches once for each label, whatever the order of its rows."""
     rows = [(1, "good words here"), (1, "ZZ!!"), (2, "BAD!!! ||| ##"), (3, "other fine words")] + [(3, "other fine words")] * 50
