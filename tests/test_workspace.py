@@ -218,6 +218,25 @@ def test_reports_hold_their_invariants(spark, kind):
     assert len(shown) == len(set(shown))
 
 
+def test_map_counts_function_names_of_all_files(spark):
+    files = {f"/w/app/m{i:03}.py": "def get_a(x): pass\ndef get_b(x): pass" for i in range(120)} | {f"/w/app/z{i}.ts": f"function setX{i}(a) {{}}\nconst isA = (a) => a" for i in range(9)}
+    files |= {"/w/app/z.java": "  public int hasAny() {}", "/w/tests/test_a.py": "def update_a(x): pass", "/w/app/zz.py": "def getter(x): pass"}
+    none = edges(spark, []).withColumn("symbols", F.array().cast("array<string>"))
+    lines = [r.text for r in report.build("map", workspace(spark, files), none, "t", "/w").orderBy("ord").collect()]
+    at = lines.index("## Function names")
+    assert lines[at + 1 : at + 6] == ["- get: 240 get_a", "- is: 9 isA", "- set: 9 setX0", "- has: 2 hasAny", ""]
+
+
+def test_map_query_agrees_with_plain_counts_of_names(spark):
+    sf, want = "/root/testdata/sf0.001", {"get": 0, "handle": 0}
+    for r in catalog.code(spark, sf).filter("file_class = 'app'").select("ext").collect():
+        if r.ext != ".go":  # a Java method counts twice
+            want["handle" if r.ext == ".ts" else "get"] += 2 if r.ext == ".java" else 1
+    lines = [r.text for r in catalog.QUERIES["report_map"](spark, sf).orderBy("ord").collect()]
+    at = lines.index("## Function names")
+    assert sum(want.values()) > 100 and [x.split()[1:3] for x in lines[at + 1 : at + 3]] == [[f"{v}:", str(want[v])] for v in ("get", "handle")]
+
+
 def test_empty_reports(spark):
     f = workspace(spark, {"/w/a.py": "x"})
     none = edges(spark, []).withColumn("symbols", F.array().cast("array<string>"))
